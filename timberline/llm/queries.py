@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from timberline.llm import simhash
+from timberline.llm import bpe, language, mixing, secrets, simhash
 
 QUERIES = {
+    "op1_byte_bpe": bpe.query,
+    "op5_mixing": mixing.query,
     "op6_simhash": simhash.query,
+    "op7_secrets": secrets.query,
+    "op10_language": language.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
+}
