@@ -29,9 +29,10 @@ def words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size) -> with target: share of all sizes by weight, none above most * source_size.
 
-    Sources take the weights in turn, by code point, null last. Capping and resharing until none is above its cap ends at
-    one level for all uncapped sources: with caps in order of cap / weight, the level is the first one, of those that are left over for the rest,
-    that the next cap reaches. One row a source: the only place where rows meet in one task.
+    Sources take the weights in turn, by code point, null last. Capping and resharing until none is above its cap ends
+    at one level (target / weight) of all uncapped sources. With the sources in order of cap / weight, what the first k
+    caps leave, divided by the other weights, grows with k up to that level and falls after it, so the level is the
+    largest of these. One row a source: the only place where rows meet in one task.
     """
     by_name, by_cap = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("_ratio", "_place")
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
@@ -42,8 +43,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     left = F.col("_all") * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     weight_left = F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
     levels = capped.withColumn("_all", F.sum("source_size").over(everything).cast("double")).withColumn("_level", left / weight_left)
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
-    return levels.withColumn("_final", level).select("source", "source_size", F.coalesce(F.least("_cap", F.col("_final") * F.col("_weight")), F.col("_cap")).alias("target"))
+    level = F.max("_level").over(everything)
+    return levels.withColumn("_final", level).select("source", "source_size", F.least("_cap", F.col("_final") * F.col("_weight")).alias("target"))
 
 
 def salt_digits(rows: int) -> int:
@@ -102,7 +103,7 @@ WITH sized AS (
     (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM weighed
 ), aims AS (
-  SELECT source, source_size, coalesce(least(cap, min(CASE WHEN level <= ratio THEN level END) OVER () * weight), cap) AS target FROM levels
+  SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM levels
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY class, salt, size, doc_id) AS r FROM keyed
 ), rated AS (
   SELECT doc_id, size, r, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,

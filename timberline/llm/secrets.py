@@ -23,7 +23,8 @@ from timberline.llm.common import text_batches
 
 @dataclass(frozen=True)
 class Rule:
-    """needed: what each match of `full` contains, for the automaton (classes, groups, | ? * + {n}; no anchors).
+    """needed: how each match of `full` that counts begins, for the automaton (classes, groups, | ? * + {n}; no anchors).
+    The automaton's size is about the product of the lengths of the counted runs, so needed is as short as is still rare.
     full: the exact pattern over bytes; a match counts if `group` has min_chars characters at least."""
 
     kind: str
@@ -38,13 +39,13 @@ class Rule:
 VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 RULES = (
-    Rule("assign", ASSIGN + VALUE + "{6}", ASSIGN + f"({VALUE}+)", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]{16}", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]{24}", r"[0-9a-f]+", 0, 24),
-    Rule("github", r"gh[opsu]_[A-Za-z0-9]{4}", r"gh[opsu]_[A-Za-z0-9]{36,}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9]{4}", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("google", r"AIza[A-Za-z0-9_-]{4}", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("assign", ASSIGN + VALUE, ASSIGN + f"({VALUE}+)", 2, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", r"[0-9a-f]{12}", r"[0-9a-f]+", 0, 24),
+    Rule("github", r"gh[opsu]_[A-Za-z0-9]", r"gh[opsu]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9]", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"),
 )
 BASE = ("assign", "access", "hex")
@@ -277,7 +278,7 @@ class Scanner:
 
     @classmethod
     def of(cls, rules: tuple[Rule, ...]) -> "Scanner":
-        """One a worker process."""
+        """Compiled once a process."""
         if rules not in _held:
             _held[rules] = cls(rules)
         return _held[rules]
@@ -324,8 +325,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     text_batches(docs.sparkSession)
     kinds = [r.kind for r in rules]
 
+    scanner = Scanner.of(rules)  # compiled once, on the driver; a few hundred KB travel with the tasks
+
     def run(batches):
-        scanner = Scanner.of(rules)
         for batch in batches:
             found = scanner.scan([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             spans = pa.array([[{"kind": kinds[i], "start": a, "end": b} for a, i, b in s] for s in found], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
@@ -341,8 +343,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     text_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
+    scanner = Scanner.of(rules)  # compiled once, on the driver; a few hundred KB travel with the tasks
+
     def run(batches):
-        scanner = Scanner.of(rules)
         for batch in batches:
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             out = []
