@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from timberline.llm import bpe, language, mixing, secrets, simhash
+from timberline.llm import bpe, language, mixing, secrets, simhash, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op5_mixing": mixing.query,
     "op6_simhash": simhash.query,
     "op7_secrets": secrets.query,
+    "op9_substrings": substrings.query,
     "op10_language": language.query,
 }
 
