@@ -28,25 +28,11 @@ SHARD_WORDS = 400_000
 MIX = 0x9E3779B97F4A7C15
 
 
-class Words:
-    """64-bit hashes of words, remembered within bounds."""
-
-    def __init__(self, most: int = 300_000):
-        self.held, self.most = {}, most
-
-    def hashes(self, words: list[bytes]):
-        import numpy as np
-        import xxhash
+def word_hashes(words: list[bytes]):
+    import numpy as np
+    import xxhash
 
-        held = self.held
-        if len(held) > self.most:
-            held.clear()
-        try:
-            return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words) - held.keys():
-                held[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def anchors(hashes, length: int, anchor: int):
@@ -163,7 +149,7 @@ def repeats(index: FmIndex, ids, starts, stops, asked, length: int):
         hit = stop & (end - at >= length)
         if hit.any():
             out.append(np.column_stack([seg[hit], at[hit], end[hit]]))
-        next_end = np.where(stop, np.minimum(end - 1, at - 1 + length - 1), end)
+        next_end = np.where(stop, np.minimum(end - 1, at - 1 + length), end)
         at = np.where(stop, next_end, at)
         low, high = np.where(stop, 0, low), np.where(stop, len(ids), high)
         # a match as far as the segment's start leaves nothing to ask, nor does a rest shorter than a window
@@ -226,7 +212,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     def read(batches):
         import numpy as np
 
-        known = Words()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], [], []]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -234,7 +219,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                 k1, k2 = identity(words)
                 found, starts, counts = None, None, None
                 if len(words) >= length:
-                    found, _, starts, counts = anchors(known.hashes(words), length, anchor)
+                    found, _, starts, counts = anchors(word_hashes(words), length, anchor)
                 for column, value in zip(rows, (k1, k2, len(words), kept_digest(words), *(x if x is None else x.astype(kind) for x, kind in ((found, np.uint64), (starts, np.int32), (counts, np.int32))))):
                     column.append(value)
             hashes = [x if x is None else x.view(np.int64) for x in rows[4]]
@@ -266,10 +251,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     def cut(batches):
         import numpy as np
 
-        known = Words()
         for batch in batches:
             for k1, k2, text, copies, s in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (3, 4))):
-                hashes = known.hashes(text.split())
+                hashes = word_hashes(text.split())
                 n = len(s)
                 bodies = [hashes[x["starts"] : x["starts"] + x["windows"] + length - 1].tobytes() for x in s]
                 yield pa.RecordBatch.from_arrays(
