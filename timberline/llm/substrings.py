@@ -8,7 +8,8 @@ meet in shards by anchor, so that every occurrence of a window is in one shard,
 A shard is indexed as an FM-index: suffix order, Burrows-Wheeler transform, and a wavelet matrix over its words
 with packed bits and rank blocks. The shard's segments stream against it: backward search finds for each end the
 longest match that occurs twice (matching statistics), all segments in step, and reports the intervals that reach
-`length`. Documents with the same words collapse first, with the number of copies as the weight of their segments.
+`length`. Documents with the same words collapse first, then segments with the same words, with the number of
+occurrences as their weight; only one body of each travels, and its intervals are joined back to its places.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from timberline.llm.common import text_batches, wide_batches, written
 
 LENGTH, ANCHOR = 35, 16
-#: Segments of one anchor held together at most; larger groups are dealt to pairs of blocks.
+#: Different segments of one anchor held together at most; larger groups are dealt to pairs of blocks.
 BLOCK_SEGMENTS = 8_192
 #: Words of segments that make a shard complete (at the next change of anchor).
 SHARD_WORDS = 400_000
@@ -36,7 +37,7 @@ def word_hashes(words: list[bytes]):
 
 
 def anchors(hashes, length: int, anchor: int):
-    """(hash, place, first window, windows) of each segment of a document with at least `length` words."""
+    """(anchor hash, first window, windows, content hash) of each segment of a document with `length` words or more."""
     import numpy as np
 
     runs = np.zeros(len(hashes) - anchor + 1, np.uint64)
@@ -54,7 +55,14 @@ def anchors(hashes, length: int, anchor: int):
         best, place = np.where(later, right, left), np.where(later, place[shift:], place[:-shift])
         width += shift
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return best[starts], place[starts], starts, np.diff(np.append(starts, len(place)))
+    windows = np.diff(np.append(starts, len(place)))
+    ends = starts + windows + length - 1
+    # sums of hash * MIX^i, modulo 2^64; MIX is odd, so a difference of sums is moved to the same power by its inverse
+    powers = np.cumprod(np.full(len(hashes), MIX, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+    inverse = np.cumprod(np.full(len(hashes), pow(MIX, -1, 1 << 64), np.uint64))
+    content = (sums[ends] - sums[starts]) * inverse[starts]
+    return best[starts], starts, windows, content ^ (content >> np.uint64(31))
 
 
 class Bits:
@@ -159,19 +167,17 @@ def repeats(index: FmIndex, ids, starts, stops, asked, length: int):
     return np.concatenate(out) if out else np.empty((0, 3), np.int64)
 
 
-def shard_repeats(bodies: list[bytes], weights, length: int):
-    """Per distinct body: list of (from, to) word intervals covered by repeated windows."""
+def shard_repeats(bodies: list[bytes], totals: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """Of each of the different bodies: the (from, to) word intervals covered by windows that occur twice or more.
+
+    totals: occurrences of each body as a whole; a body that has two needs no search, but others are matched with it.
+    """
     import numpy as np
 
-    distinct: dict[bytes, int] = {}
-    which = np.array([distinct.setdefault(b, len(distinct)) for b in bodies])
-    total = np.bincount(which, weights=weights, minlength=len(distinct))
-    arrays = [np.frombuffer(b, np.uint64) for b in distinct]
+    arrays = [np.frombuffer(b, np.uint64) for b in bodies]
     sizes = np.array([len(a) for a in arrays])
-    found: list[list[tuple[int, int]]] = [[] for _ in arrays]
-    for i in np.flatnonzero(total >= 2).tolist():  # as a whole it occurs twice
-        found[i].append((0, int(sizes[i])))
-    asked = np.flatnonzero(total < 2)
+    found: list[list[tuple[int, int]]] = [[(0, len(a))] if n > 1 else [] for a, n in zip(arrays, totals)]
+    asked = np.flatnonzero(np.array(totals) < 2)
     if len(asked) and len(arrays) > 1:
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         stops = starts + sizes
@@ -181,7 +187,7 @@ def shard_repeats(bodies: list[bytes], weights, length: int):
         ids[inside] = np.unique(np.concatenate(arrays), return_inverse=True)[1] + 1
         for s, a, b in repeats(FmIndex(ids, stops), ids, starts, stops, asked, length).tolist():
             found[s].append((a - int(starts[s]), b - int(starts[s])))
-    return which, found
+    return found
 
 
 def identity(words: list[bytes]) -> tuple[int, int]:
@@ -210,95 +216,82 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def read(batches):
-        import numpy as np
-
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], [], []]
+            rows: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").split()
-                k1, k2 = identity(words)
-                found, starts, counts = None, None, None
+                found = (None,) * 4
                 if len(words) >= length:
-                    found, _, starts, counts = anchors(word_hashes(words), length, anchor)
-                for column, value in zip(rows, (k1, k2, len(words), kept_digest(words), *(x if x is None else x.astype(kind) for x, kind in ((found, np.uint64), (starts, np.int32), (counts, np.int32))))):
+                    best, starts, windows, content = anchors(word_hashes(words), length, anchor)
+                    found = (best.view("int64"), starts.astype("int32"), windows.astype("int32"), content.view("int64"))
+                for column, value in zip(rows, (*identity(words), len(words), kept_digest(words), *found)):
                     column.append(value)
-            hashes = [x if x is None else x.view(np.int64) for x in rows[4]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(rows[i], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))), pa.array(hashes, pa.list_(pa.int64())), pa.array(rows[5], pa.list_(pa.int32())), pa.array(rows[6], pa.list_(pa.int32()))],
-                ["id", "k1", "k2", "n_words", "whole", "anchors", "starts", "windows"],
-            )
-
-    seen = written(texts.mapInArrow(read, "id long, k1 long, k2 long, n_words long, whole string, anchors array<long>, starts array<int>, windows array<int>"))
-    # one row stands for all with the same words; `copies` is their number
-    standing = seen.where(F.col("n_words") >= length).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
-    chosen = seen.join(standing.withColumnRenamed("id", "least"), ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least"))).select("k1", "k2", "copies", "id", F.explode(F.arrays_zip("anchors", "starts", "windows")).alias("s")).select("k1", "k2", "id", "copies", "s.anchors", "s.starts", "s.windows").distinct()
-    placed = written(chosen)
-    often = placed.groupBy("anchors").agg(F.sum("copies").alias("n")).where("n > 1").select("anchors")
-    wanted = placed.join(often, "anchors").groupBy("k1", "k2", "id", "copies").agg(F.collect_list(F.struct("anchors", "starts", "windows")).alias("s"))
-    wanted = written(wanted)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, kinds)], ["id", "k1", "k2", "n_words", "whole", "anchor", "start", "windows", "content"])
+
+    seen = written(texts.mapInArrow(read, "id long, k1 long, k2 long, n_words long, whole string, anchor array<long>, start array<int>, windows array<int>, content array<long>"))
+    # one row stands for all with the same words; `copies` is their number (if rows are repeated whole, both stand: each segment then has copies > 1 in any case)
+    standing = seen.where(F.col("n_words") >= length).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    chosen = seen.join(standing, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least")))
+    placed = written(chosen.select("k1", "k2", "id", "copies", F.explode(F.arrays_zip("anchor", "start", "windows", "content")).alias("s")).select("k1", "k2", "id", "copies", "s.*"))
+    often = placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
+    live = written(placed.join(often, "anchor"))
+    bodies = written(live.groupBy("anchor", "content").agg(F.sum("copies").alias("total"), F.min(F.struct("k1", "k2", "id", "start", "windows")).alias("at")).select("anchor", "content", "total", "at.*"))
+    wanted = bodies.groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("anchor", "content", "total", "start", "windows")).alias("s"))
 
     def keyed(batches):
         for batch in batches:
             keys = [identity((t or b"").split()) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *batch.columns], ["k1", "k2", "id", "text"])
 
-    text_batches(spark)
+    # the texts travel once, to the documents that hold a live segment; those are written for the last step
+    needed = live.select("k1", "k2", "id").distinct()
+    w = needed.alias("n").join(wanted.alias("w"), (F.col("n.k1") == F.col("w.k1")) & (F.col("n.k2") == F.col("w.k2")) & F.col("n.id").eqNullSafe(F.col("w.id")), "left").select("n.k1", "n.k2", "n.id", "w.s").alias("w")
     content = texts.mapInArrow(keyed, "k1 long, k2 long, id long, text string").alias("t")
-    w = wanted.alias("w")
     same = (F.col("t.k1") == F.col("w.k1")) & (F.col("t.k2") == F.col("w.k2")) & F.col("t.id").eqNullSafe(F.col("w.id"))
-    held = written(content.join(w, same).select("t.k1", "t.k2", "text", "copies", "s"))
+    held = written(content.join(w, same).select("t.k1", "t.k2", "text", "s"))
 
     def cut(batches):
-        import numpy as np
-
         for batch in batches:
-            for k1, k2, text, copies, s in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (3, 4))):
+            for text, s in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 hashes = word_hashes(text.split())
-                n = len(s)
-                bodies = [hashes[x["starts"] : x["starts"] + x["windows"] + length - 1].tobytes() for x in s]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["anchors"] for x in s], pa.int64()), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array([x["starts"] for x in s], pa.int32()), pa.array(np.full(n, copies)), pa.array(bodies, pa.binary())],
-                    ["anchor", "k1", "k2", "start", "copies", "body"],
-                )
+                parts = [hashes[x["start"] : x["start"] + x["windows"] + length - 1].tobytes() for x in s]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in s], pa.int64()) for c in ("anchor", "content", "total")), pa.array(parts, pa.binary())], ["anchor", "content", "total", "body"])
 
-    segments = held.mapInArrow(cut, "anchor long, k1 long, k2 long, start int, copies long, body binary")
-    dealt = block_pairs_of_anchors(segments, placed)
+    segments = held.where("s is not null").select("text", "s").mapInArrow(cut, "anchor long, content long, total long, body binary")
+    dealt = shards(segments, bodies)
 
     def search(batches):
-        import numpy as np
-
-        columns: list[list] = [[], [], [], [], [], []]
-        words = 0
+        held_rows: dict[tuple, tuple] = {}
+        words, last = 0, None
 
         def answer():
-            keys = {}
-            for i, key in enumerate(zip(columns[1], columns[2], columns[3])):
-                keys.setdefault((*key, columns[5][i]), i)  # a repeated row's segments count once
-            rows = sorted(keys.values())
-            which, found = shard_repeats([columns[4][i] for i in rows], [columns[0][i] for i in rows], length)
-            out = [(columns[1][i], columns[2][i], columns[3][i] + a, columns[3][i] + b) for i, d in zip(rows, which.tolist()) for a, b in found[d]]
-            for at in range(0, len(out), 8192):
-                part = out[at : at + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k1", "k2", "from", "to"])
-
-        last = None
+            out: list[list] = [[], [], [], []]
+            rows = list(held_rows.items())
+            for ((anchor_, content_), _), spans in zip(rows, shard_repeats([r[0] for _, r in rows], [r[1] for _, r in rows], length)):
+                for span in spans:
+                    for column, value in zip(out, (anchor_, content_, *span)):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "content", "from", "to"])
+
         for batch in batches:
-            anchors_, pairs = batch.column(0).to_pylist(), batch.column(6).to_pylist()
-            values = [batch.column(i).to_pylist() for i in (4, 1, 2, 3, 5)]
-            for i, key in enumerate(zip(anchors_, pairs)):
-                if key != last and words >= SHARD_WORDS:
-                    yield from answer()
-                    columns, words = [[], [], [], [], [], []], 0
-                last = key
-                for column, value in zip(columns, (*(v[i] for v in values), key)):
-                    column.append(value)
-                words += len(values[4][i]) // 8
-        if columns[0]:
-            yield from answer()
+            for anchor_, content_, total, body, pair in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (anchor_, pair) != last and words >= SHARD_WORDS:
+                    yield answer()
+                    held_rows, words = {}, 0
+                if last is not None and pair != last[1] and anchor_ == last[0] and held_rows:
+                    yield answer()  # pairs of one anchor's blocks hold the same segments: each is a shard of its own
+                    held_rows, words = {}, 0
+                last = (anchor_, pair)
+                held_rows[anchor_, content_] = (body, total)
+                words += len(body) // 8
+        if held_rows:
+            yield answer()
 
     wide_batches(spark, 2048)
-    intervals = dealt.select("anchor", "k1", "k2", "start", "copies", "body", "pair").mapInArrow(search, "k1 long, k2 long, `from` int, `to` int")
-    merged = written(intervals.groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    found = written(dealt.select("anchor", "content", "total", "body", "pair").mapInArrow(search, "anchor long, content long, `from` int, `to` int").distinct())
+    spans = live.join(found, ["anchor", "content"]).select("k1", "k2", F.struct((F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).alias("span"))
+    merged = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
     def remove(batches):
         import numpy as np
@@ -321,15 +314,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     return seen.select("id", "k1", "k2", "n_words", "whole").join(changed, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
-def block_pairs_of_anchors(segments: DataFrame, placed: DataFrame) -> DataFrame:
-    """Segments dealt to shards by anchor; an anchor with too many is dealt to pairs of blocks. Sizes come from the narrow table of places."""
-    large = placed.groupBy(F.col("anchors").alias("anchor")).count().where(F.col("count") > BLOCK_SEGMENTS).select("anchor", F.ceil(F.col("count") / BLOCK_SEGMENTS).cast("int").alias("_k"))
-    dealt = segments.join(large, "anchor", "left").withColumn("_s", F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64("k1", "k2", "start"), F.col("_k")).cast("int")))
+def shards(segments: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Segments dealt by anchor; one with too many different segments is dealt to pairs of blocks, in which any two of
+    its segments meet. The sizes come from the narrow table of bodies."""
+    large = bodies.groupBy("anchor").count().where(F.col("count") > BLOCK_SEGMENTS).select("anchor", F.ceil(F.col("count") / BLOCK_SEGMENTS).cast("int").alias("_k"))
+    dealt = segments.join(large, "anchor", "left").withColumn("_s", F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64("content"), F.col("_k")).cast("int")))
     pairs = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda t: F.least("_s", t).cast("long") * F.col("_k") + F.greatest("_s", t) + 1)
     )
-    dealt = dealt.withColumn("pair", F.explode(pairs)).drop("_k", "_s")
-    return dealt.repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
+    return dealt.withColumn("pair", F.explode(pairs)).drop("_k", "_s").repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
