@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from timberline.llm import bpe, language, mixing, secrets, simhash, substrings
+from timberline.llm import bpe, embeddings, html, language, mixing, secrets, simhash, substrings, topk, urls
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op2_embeddings": embeddings.query,
+    "op3_urls": urls.query,
+    "op4_html": html.query,
     "op5_mixing": mixing.query,
     "op6_simhash": simhash.query,
     "op7_secrets": secrets.query,
+    "op8_topk": topk.query,
     "op9_substrings": substrings.query,
     "op10_language": language.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
+    "op8_topk": topk.ORACLE,
 }
