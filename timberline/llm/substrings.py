@@ -8,8 +8,8 @@ meet in shards by anchor, so that every occurrence of a window is in one shard,
 A shard is indexed as an FM-index: suffix order, Burrows-Wheeler transform, and a wavelet matrix over its words
 with packed bits and rank blocks. The shard's segments stream against it: backward search finds for each end the
 longest match that occurs twice (matching statistics), all segments in step, and reports the intervals that reach
-`length`. Documents with the same words collapse first, then segments with the same words, with the number of
-occurrences as their weight; only one body of each travels, and its intervals are joined back to its places.
+`length`. Segments with the same words collapse first, with the number of occurrences as their weight; only one
+body of each travels, and its intervals are joined back to its places. Of documents with the same words one is cut.
 """
 
 from __future__ import annotations
@@ -229,15 +229,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, kinds)], ["id", "k1", "k2", "n_words", "whole", "anchor", "start", "windows", "content"])
 
-    seen = written(texts.mapInArrow(read, "id long, k1 long, k2 long, n_words long, whole string, anchor array<long>, start array<int>, windows array<int>, content array<long>"))
-    # one row stands for all with the same words; `copies` is their number (if rows are repeated whole, both stand: each segment then has copies > 1 in any case)
-    standing = seen.where(F.col("n_words") >= length).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
-    chosen = seen.join(standing, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least")))
-    placed = written(chosen.select("k1", "k2", "id", "copies", F.explode(F.arrays_zip("anchor", "start", "windows", "content")).alias("s")).select("k1", "k2", "id", "copies", "s.*"))
-    often = placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    live = written(placed.join(often, "anchor"))
-    bodies = written(live.groupBy("anchor", "content").agg(F.sum("copies").alias("total"), F.min(F.struct("k1", "k2", "id", "start", "windows")).alias("at")).select("anchor", "content", "total", "at.*"))
-    wanted = bodies.groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("anchor", "content", "total", "start", "windows")).alias("s"))
+    read_schema = "id long, k1 long, k2 long, n_words long, whole string, anchor array<long>, start array<int>, windows array<int>, content array<long>"
+    seen = written(texts.mapInArrow(read, read_schema).withColumn("uid", F.monotonically_increasing_id()), "zstd")  # written: uid stays
+    # a row for each segment; `at` packs its first window and their number
+    spread = seen.select("uid", F.explode(F.arrays_zip("anchor", "start", "windows", "content")).alias("s")).select(
+        "uid", "s.anchor", (F.shiftleft(F.col("s.start").cast("long"), 20) + F.col("s.windows")).alias("at"), "s.content"
+    )
+    often = spread.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    live = written(spread.join(often, "anchor"), "zstd")
+    bodies = written(live.groupBy("anchor", "content").agg(F.count("*").alias("total"), F.min(F.struct("uid", "at")).alias("first")).select("anchor", "content", "total", "first.*"), "zstd")
+    wanted = bodies.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "total", F.shiftright("at", 20).alias("start"), F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).alias("windows"))).alias("s"))
+    # one row stands for all with the same words: the first by uid, which is also the first to hold any of its segments
+    standing = seen.where(F.col("n_words") >= length).groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.min("id").alias("id"))
+    needed = standing.join(live.select("uid").distinct(), "uid").join(wanted, "uid", "left")
 
     def keyed(batches):
         for batch in batches:
@@ -245,11 +249,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *batch.columns], ["k1", "k2", "id", "text"])
 
     # the texts travel once, to the documents that hold a live segment; those are written for the last step
-    needed = live.select("k1", "k2", "id").distinct()
-    w = needed.alias("n").join(wanted.alias("w"), (F.col("n.k1") == F.col("w.k1")) & (F.col("n.k2") == F.col("w.k2")) & F.col("n.id").eqNullSafe(F.col("w.id")), "left").select("n.k1", "n.k2", "n.id", "w.s").alias("w")
-    content = texts.mapInArrow(keyed, "k1 long, k2 long, id long, text string").alias("t")
+    content, w = texts.mapInArrow(keyed, "k1 long, k2 long, id long, text string").alias("t"), needed.alias("w")
     same = (F.col("t.k1") == F.col("w.k1")) & (F.col("t.k2") == F.col("w.k2")) & F.col("t.id").eqNullSafe(F.col("w.id"))
-    held = written(content.join(w, same).select("t.k1", "t.k2", "text", "s"))
+    held = written(content.join(w, same).select("t.k1", "t.k2", "w.uid", "text", "s"), "zstd")
 
     def cut(batches):
         for batch in batches:
@@ -290,8 +292,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     wide_batches(spark, 2048)
     found = written(dealt.select("anchor", "content", "total", "body", "pair").mapInArrow(search, "anchor long, content long, `from` int, `to` int").distinct())
-    spans = live.join(found, ["anchor", "content"]).select("k1", "k2", F.struct((F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).alias("span"))
-    merged = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    start = F.shiftright("at", 20)
+    spans = live.join(found, ["anchor", "content"]).select("uid", F.struct((start + F.col("from")).alias("from"), (start + F.col("to")).alias("to")).alias("span"))
+    merged = spans.groupBy("uid").agg(F.collect_list("span").alias("spans"))
 
     def remove(batches):
         import numpy as np
@@ -310,7 +313,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["k1", "k2", "n_removed", "kept"])
 
     text_batches(spark)
-    changed = held.select("k1", "k2", "text").join(merged, ["k1", "k2"]).mapInArrow(remove, "k1 long, k2 long, n_removed long, kept string").distinct()
+    changed = held.select("uid", "k1", "k2", "text").join(merged, "uid").select("k1", "k2", "text", "spans").mapInArrow(remove, "k1 long, k2 long, n_removed long, kept string").distinct()
     return seen.select("id", "k1", "k2", "n_words", "whole").join(changed, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
