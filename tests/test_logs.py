@@ -127,6 +127,21 @@ def test_sessions_dedup_context_sample(spark, monkeypatch, block):
     got = order.dedup(df, 60, F.col("k")).orderBy("first_ord").collect()
     assert {k: [r["count"] for r in got if r["key"] == k] for k in "abc"} == {k: runs_.get(k, []) for k in "abc"}
 
+    by_key = order.sessions(df, 60, ["k"]).orderBy("k", "index").collect()
+    for key in "abc":
+        want, last = [], None
+        for _, t, k in rows:
+            if k == key:
+                if not want or (t is not None and last is not None and (t - last).total_seconds() > 60):
+                    want.append(0)
+                want[-1] += 1
+                last = t or last
+        assert [r["entry_count"] for r in by_key if r["k"] == key] == want
+    starts = {k: [r["first_ord"] for r in got if r["key"] == k] for k in "abc"}
+    for r in got:  # a closed run is put where its successor begins
+        later = [o for o in starts[r["key"]] if o > r["first_ord"]]
+        assert r["order"] == ((False, min(later)) if later else (True, r["first_ord"]))
+
     lines = [r[2] + str(r[0]) for r in rows]
     found = {r["line_number"]: (r["before"], r["after"]) for r in order.context(df, F.col("k") == "a", 3, 2).collect()}
     assert found == {i + 1: (lines[max(0, i - 3) : i], lines[i + 1 : i + 3]) for i, r in enumerate(rows) if r[2] == "a"}

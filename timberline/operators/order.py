@@ -1,12 +1,14 @@
 """Order-dependent operators without one task for all rows.
 
 A global place comes from a range sort, a row's number within its partition, and the partitions' counts. State
-that runs along all lines is computed within blocks of places; each block's summary, one row, is carried to the next
+that runs along lines, of a key or all, is computed within blocks of places; each block's summary, one row, is carried to the next
 blocks by a window over the summaries alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from timberline.functions.timestamps import DEFAULT, timestamp_text
 BLOCK = 100_000
 
 
-def placed(df: DataFrame, by: str = "ord") -> DataFrame:
-    """Adds pos, the 0-based place in the order of `by`."""
-    ordered = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id()).persist()
+def placed(df: DataFrame, *by: str) -> DataFrame:
+    """Adds pos, the 0-based place in the order of the columns `by` (ord, unless others are given)."""
+    by = by or ("ord",)
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()).persist()
     counts = sorted(map(tuple, ordered.groupBy(F.shiftright("_id", 33).alias("p")).count().collect()))  # a row for each partition
     begins, total = [], 0
     for part, n in counts:
@@ -29,6 +32,38 @@ def placed(df: DataFrame, by: str = "ord") -> DataFrame:
     return ordered.withColumn("pos", begin + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
 
 
+def runs(lines: DataFrame, keys: list[str], breaks: Callable[[Column], Column], skip_nulls: bool) -> DataFrame:
+    """Adds pos, _new (1 where a run begins by breaks(previous timestamp), else 0) and _run, the sum of _new so far.
+
+    The previous timestamp is that of the line before of the same keys, or with skip_nulls the last that isn't null. Lines are
+    sorted by keys and order and cut into blocks of places, so a key that holds most lines is many tasks like any
+    others; between the blocks of a key only summaries travel, one row a key and block.
+    """
+    numbered = placed(lines, *keys, "ord").withColumn("_block", F.floor(F.col("pos") / BLOCK))
+    w, blocks = Window.partitionBy("_block", *keys).orderBy("pos"), Window.partitionBy(*keys).orderBy("_block")
+    earlier = lambda over: over.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("timestamp").isNotNull(), F.col("pos")) if skip_nulls else F.col("pos")
+    ends = numbered.groupBy("_block", *keys).agg(F.max_by("timestamp", at).alias("_last"))
+    before = F.last("_last", True).over(earlier(blocks)) if skip_nulls else F.lag("_last").over(blocks)
+    carried = same_keys(numbered, ends.select("_block", *keys, before.alias("_carried")), ["_block", *keys])
+    within = F.last("timestamp", True).over(earlier(w)) if skip_nulls else F.lag("timestamp").over(w)
+    flagged = carried.withColumn("_new", breaks(F.coalesce(within, F.col("_carried")) if skip_nulls else F.when(F.row_number().over(w) == 1, F.col("_carried")).otherwise(within)).cast("long"))
+    sums = flagged.groupBy("_block", *keys).agg(F.sum("_new").alias("_sum"))
+    begun = sums.select("_block", *keys, F.coalesce(F.sum("_sum").over(earlier(blocks)), F.lit(0)).alias("_begun"))
+    inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return same_keys(flagged.withColumn("_run", inside), begun, ["_block", *keys]).withColumn("_run", F.col("_run") + F.col("_begun")).drop("_block", "_carried", "_begun")
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys, null equal to null; the left side's keys stay."""
+    named = right.select(*[F.col(k).alias(f"_r{i}") if k in keys else F.col(k) for i, k in enumerate(right.columns)])
+    held = {k: f"_r{i}" for i, k in enumerate(right.columns) if k in keys}
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(held[k]))
+    return left.join(named, on).drop(*held.values())
+
+
 def context(lines: DataFrame, predicate: Column, before: int = 2, after: int = 2) -> DataFrame:
     """line_number (from 1), matched_line, before, after: neighbours are those of all lines; contexts may overlap."""
     need(before >= 0 and after >= 0, "before and after must not be negative")
@@ -51,6 +86,10 @@ def sample(lines: DataFrame, most: int) -> DataFrame:
     return numbered.where(F.col("pos") % step == 0).withColumns({"idx": F.floor(F.col("pos") / step), "step": F.lit(step).cast("long"), "is_exact": F.lit(total <= kept)}).drop("pos")
 
 
+def micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def _sessions(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return flagged.groupBy(*keys, "index").agg(
         F.count("*").alias("entry_count"),
@@ -62,25 +101,12 @@ def _sessions(flagged: DataFrame, keys: list[str]) -> DataFrame:
 def sessions(parsed: DataFrame, gap_seconds: float, by: list[str] = (), compat_zero_duration_null: bool = False) -> DataFrame:
     """index (from 0), entry_count, start, end, duration_seconds of the runs of lines; a new one begins where a timestamp is
     more than the gap after the last one. Lines without a timestamp join the current session, blank ones go.
-    by: sessions of each key; else of all lines, in blocks."""
+    by: sessions of each key; else of all lines."""
     need(gap_seconds > 0, "the gap must be positive")
-    lines = parsed.where(~blank(F.col("line")))
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    breaks = lambda last: F.coalesce(seconds(F.col("timestamp")) - seconds(last) > int(gap_seconds * 1_000_000), F.lit(False)).cast("long")
-    if by:
-        w = Window.partitionBy(*by).orderBy("ord")
-        numbered = lines.withColumn("pos", F.col("ord"))
-        flagged = numbered.withColumn("_new", breaks(F.last("timestamp", True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-        out = _sessions(flagged.withColumn("index", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))), list(by))
-    else:
-        numbered = placed(lines).withColumn("_block", F.floor(F.col("pos") / BLOCK))
-        w, blocks = Window.partitionBy("_block").orderBy("pos"), Window.orderBy("_block")
-        carried = numbered.groupBy("_block").agg(F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("pos"))).alias("_last"))
-        carried = carried.select("_block", F.last("_last", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-        flagged = numbered.join(carried, "_block").withColumn("_new", breaks(F.coalesce(F.last("timestamp", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))))
-        before = flagged.groupBy("_block").agg(F.sum("_new").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        indexed = flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(before, "_block")
-        out = _sessions(indexed.withColumn("index", F.col("_run") + F.col("_before")), [])
+    gap = int(gap_seconds * 1_000_000)
+    breaks = lambda last: F.coalesce(micros(F.col("timestamp")) - micros(last) > gap, F.lit(False))
+    found = runs(parsed.where(~blank(F.col("line"))), list(by), breaks, True)
+    out = _sessions(found.withColumn("index", F.col("_run")), list(by))
     return out.withColumn("duration_seconds", F.nullif("duration_seconds", F.lit(0.0))) if compat_zero_duration_null else out
 
 
@@ -96,10 +122,16 @@ def dedup(parsed: DataFrame, window_seconds: float = 60, key: Column | None = No
     runs where their successor begins, then the open ones by first line."""
     need(window_seconds > 0, "the window must be positive")
     lines = parsed.withColumn("key", message_key(F.col("line"), formats) if key is None else key).where(~blank(F.col("key")))
-    w = Window.partitionBy("key").orderBy("ord")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    joins = F.coalesce(micros(F.col("timestamp")) - micros(F.lag("timestamp").over(w)) <= int(window_seconds * 1_000_000), F.lit(False))
-    runs = lines.withColumn("_new", (~joins).cast("long")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("key", "_run").agg(F.count("*").alias("count"), F.min_by("line", "ord").alias("raw"), F.min_by("timestamp", "ord").alias("first_seen"), F.max_by("timestamp", "ord").alias("last_seen"), F.min("ord").alias("first_ord"))
-    following = F.lead("first_ord").over(Window.partitionBy("key").orderBy("_run"))
-    return out.withColumn("order", F.struct(following.isNull().alias("open"), F.coalesce(following, F.col("first_ord")).alias("at"))).withColumn("timestamp", F.col("first_seen")).drop("_run")
+    most = int(window_seconds * 1_000_000)
+    found = runs(lines, ["key"], lambda last: ~F.coalesce(micros(F.col("timestamp")) - micros(last) <= most, F.lit(False)), False)
+    # the first line of a run also tells the run before it where its successor begins
+    own = F.struct(F.col("_run").alias("run"), F.lit(False).alias("told"))
+    told = F.struct((F.col("_run") - 1).alias("run"), F.lit(True).alias("told"))
+    spread = found.withColumn("_r", F.explode(F.when((F.col("_new") == 1) & (F.col("_run") > 1), F.array(own, told)).otherwise(F.array(own))))
+    mine, next_ = (F.when(F.col("_r.told") == told_, F.col("ord")) for told_ in (False, True))
+    out = spread.groupBy("key", F.col("_r.run").alias("_run")).agg(
+        F.count(mine).alias("count"), F.min_by("line", mine).alias("raw"), F.min_by("timestamp", mine).alias("first_seen"),
+        F.max_by("timestamp", mine).alias("last_seen"), F.min(mine).alias("first_ord"), F.min(next_).alias("_next"),
+    )
+    order = F.struct(F.col("_next").isNull().alias("open"), F.coalesce("_next", "first_ord").alias("at"))
+    return out.withColumn("order", order).withColumn("timestamp", F.col("first_seen")).drop("_run", "_next")
