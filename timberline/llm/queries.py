@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embeddings": embeddings.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_secrets": secrets.ORACLE,
     "op8_topk": topk.ORACLE,
+    "op9_substrings": substrings.ORACLE,
 }

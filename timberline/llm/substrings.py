@@ -330,3 +330,15 @@ def shards(segments: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (SELECT r, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), windows AS (SELECT r, i, word, CASE WHEN i + 34 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS w FROM placed
+), often AS (SELECT w FROM windows WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1
+), marked AS (SELECT r, i, word, max(CASE WHEN often.w IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM windows LEFT JOIN often ON windows.w = often.w
+), cut AS (SELECT r, count(*) FILTER (WHERE gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""
