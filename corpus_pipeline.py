@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, common, language, mixing, secrets, simhash
+from timberline.llm import bpe, common, jaccard, language, mixing, secrets
 
 #: SQL has no trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,12 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of its repeated rows, one."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    stay = kept.select(F.col("doc_id").alias("_id"))
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays; of its repeated rows, one."""
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    groups = jaccard.groups(keyed.select(F.col("_row").alias("row_key"), F.col("text").cast("string").alias("text"))).distinct()
+    stay = keyed.join(groups, F.col("_row") == F.col("row_key")).groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("_row")
-    found = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
 
 

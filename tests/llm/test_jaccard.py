@@ -1,0 +1,60 @@
+"""Near duplicates of the pipeline against all pairs of whole shingle sets."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from timberline.llm import common, jaccard
+
+
+def plain(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def planted():
+    """Texts with copies of 0 to 12 changed words, a passage that many share, a large group of near copies, and odd ones."""
+    rng, out = random.Random(3), [None, "", "  ", "one", "One", "two words", "a " * 50]
+    passage = [f"p{i}" for i in range(40)]
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((30, 120, 300)))] + (passage if k % 2 else [])
+        out.append(" ".join(words))
+        for n in range(1, 13, 3):
+            copy = list(words)
+            for _ in range(n):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+    base = [f"b{i}" for i in range(200)]
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def roots(texts):
+    sets = [plain(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    return common.local_roots(len(sets), [tuple(np.array(pairs).T)])
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    texts = planted()
+    got = {r["row_key"]: r["component"] for r in jaccard.groups(spark.createDataFrame(list(enumerate(texts)), "row_key long, text string").repartition(5)).collect()}
+    want = roots(texts)
+    assert len(got) == len(texts)
+    assert len(set(zip([got[i] for i in range(len(texts))], want.tolist()))) == len(set(got.values())) == len(set(want.tolist()))
+    assert jaccard.groups(spark.createDataFrame([], "row_key long, text string")).count() == 0
+
+
+def test_stage_drops_planted_near_copies(spark):
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == set(roots(texts).tolist())

@@ -1,0 +1,150 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles.
+
+Candidates come by prefix filtering: under one order of all shingles, two sets of similarity t share one of their
+first n - ceil(t n) + 1 shingles. Any order is right; ours puts common shingles last, as counted in a sample, so that
+few texts meet. Candidates are compared by their whole sets. Nothing is approximate but the 64-bit hashes.
+
+Pairs within a component need no comparison: each text first meets one pivot per shared shingle (as many pairs as
+rows), and only pairs that are then in different components are compared too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from timberline.llm.common import components, text_batches, written
+from timberline.llm.simhash import CHUNK_WORDS, SEED
+
+SHINGLE = 5
+#: Least similarity, as a fraction.
+LEAST = (4, 5)
+#: Rows in which common shingles are counted, how often one is seen there, and how many are known at most; only the order depends on them.
+SAMPLE_ROWS, COMMON, MOST_COMMON = 20_000, 5, 200_000
+
+
+def shingles(text: bytes | None):
+    """Sorted distinct hashes of the shingles of ASCII-lower-cased words; of a shorter text, of its words together."""
+    import numpy as np
+    import xxhash
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    digest, found = xxhash.xxh64_intdigest, []
+    for at in range(0, max(1, len(words) - SHINGLE + 1), CHUNK_WORDS):
+        part = words[at : at + CHUNK_WORDS + SHINGLE - 1]
+        joined = b" ".join(part)
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        k = min(SHINGLE, len(part))
+        starts, stops = np.concatenate([[0], ends[: len(part) - k]]).tolist(), (ends[k - 1 :] - 1).tolist()
+        found.append(np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64).view(np.int64)))
+    return np.unique(np.concatenate(found))
+
+
+def prefix_size(n: int) -> int:
+    """Shingles of a set of n of which a set at least as similar as LEAST shares one."""
+    return n - (LEAST[0] * n + LEAST[1] - 1) // LEAST[1] + 1 if n else 0
+
+
+def similar(a, b) -> bool:
+    import numpy as np
+
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def common_shingles(texts: DataFrame, rows: int):
+    """Shingles seen often in a sample of the texts, with their counts: two arrays, sorted by shingle."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t))], ["s"])
+
+    sample = texts.select("text").where(F.pmod(F.xxhash64("row_key", F.lit(5)), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
+    seen = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas().sort_values("s")
+    return seen["s"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
+
+
+def contents(texts: DataFrame) -> DataFrame:
+    """row_key long, text -> row_key, content long (stands for the set), n, prefix array<long>; one row per row."""
+    import pyarrow as pa
+
+    spark = texts.sparkSession
+    text_batches(spark)
+    known, often = common_shingles(texts, texts.count())
+    shared = spark.sparkContext.broadcast((known, often))
+
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        known, often = shared.value
+        for batch in batches:
+            rows = []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                s = shingles(t)
+                rank = np.zeros(len(s), np.int64)
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, often[at], 0)
+                rows.append((xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), s[np.lexsort((s, rank))[: prefix_size(len(s))]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["row_key", "content", "n", "prefix"])
+
+    return texts.select("row_key", "text").mapInArrow(run, "row_key long, content long, n long, prefix array<long>")
+
+
+def verified(pairs: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of contents that are similar. chosen: content -> the row_key that has its text."""
+    import pyarrow as pa
+
+    text_batches(texts.sparkSession)
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["content", "s"])
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            a, b, x, y = (batch.column(i) for i in range(4))
+            keep = [similar(np.frombuffer(p.as_py(), np.int64), np.frombuffer(q.as_py(), np.int64)) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(chosen, "content")
+    # Rows with one row_key are equal in all columns: any of them has the text.
+    of = written(texts.join(needed, "row_key").select("content", "text").mapInArrow(sets, "content long, s binary").dropDuplicates(["content"]))
+    both = pairs.join(of.withColumnsRenamed({"content": "a", "s": "x"}), "a").join(of.withColumnsRenamed({"content": "b", "s": "y"}), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def groups(texts: DataFrame) -> DataFrame:
+    """row_key long, text string -> row_key, component long: equal for texts joined by any chain of similar ones. One row per row.
+
+    Texts without words are alike. An empty table gives none.
+    """
+    rows = written(contents(texts))
+    each = written(rows.groupBy("content").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    tokens = each.select("content", "n", F.explode("prefix").alias("s"))
+    shared = written(tokens.join(tokens.groupBy("s").count().where("count > 1").select("s"), "s"))
+    sizes = LEAST[1] * F.least("n", "m") >= LEAST[0] * F.greatest("n", "m")
+    ordered = (F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b"))
+
+    pivot = shared.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "content").alias("h"), "content", "n")).alias("p")).select("s", F.col("p.content").alias("other"), F.col("p.n").alias("m"))
+    first = written(shared.join(pivot, "s").where((F.col("content") != F.col("other")) & sizes).select(*ordered).distinct())
+    chosen = each.select("content", "row_key")
+    edges = written(verified(first, chosen, texts))
+    found = components(edges)
+
+    named = shared.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("c", F.coalesce("component", "content")).select("s", "content", "n", "c")
+    mixed = written(named.join(named.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"), "s"))
+    others = mixed.select("s", F.col("content").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = mixed.join(others, "s").where((F.col("content") < F.col("other")) & (F.col("c") != F.col("d")) & sizes).select(*ordered).distinct()
+    more = written(verified(written(rest.join(first, ["a", "b"], "left_anti")), chosen, texts))
+    if not more.isEmpty():
+        found = components(edges.unionByName(more))
+    return rows.select("row_key", "content").join(found.withColumnRenamed("node", "content"), "content", "left").select("row_key", F.coalesce("component", "content").alias("component"))
