@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import bpe, common, jaccard, language, mixing, secrets
@@ -24,13 +24,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays; of its repeated rows, one."""
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays; of its repeated rows, one.
+
+    Rows are judged, not ids: null ids, after all others, and repeated ids stay once for each group.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
     groups = jaccard.groups(keyed.select(F.col("_row").alias("row_key"), F.col("text").cast("string").alias("text"))).distinct()
-    stay = keyed.join(groups, F.col("_row") == F.col("row_key")).groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("_row")
-    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    named = keyed.select("doc_id", "_row").join(groups, F.col("_row") == F.col("row_key"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
+    stay = least.select(F.col("m._row").alias("_row"))
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

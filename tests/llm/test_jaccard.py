@@ -58,3 +58,12 @@ def test_stage_drops_planted_near_copies(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == set(roots(texts).tolist())
+
+
+def test_stage_keeps_a_row_of_each_group_whatever_its_id(spark):
+    """Different texts under null ids and under one id all stay; a copy without an id yields to the one with an id."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[2]), (9, texts[3] + " end"), (9, texts[4]), (9, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])], key=str)
