@@ -129,19 +129,14 @@ def walk(root: Node, stop):
             nodes.append(child)
 
 
-def has_article(root: Node) -> bool:
-    return any(kind == "open" and x.tag in ("article", "main") for kind, x in walk(root, lambda n: False))
-
-
 def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """Blocks of the main text joined by a line feed. low: paths that the site style tree found unimportant.
 
-    With an article or main element, only what is in one counts; else all that isn't furniture.
+    All that isn't furniture counts, within an article or main element and outside.
     """
     if not page:
         return ""
     root = parse(page)
-    only = has_article(root)
     blocks, parts = [], []
 
     def flush():
@@ -150,15 +145,9 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
             blocks.append(text)
         parts.clear()
 
-    inside = 0
     for kind, x in walk(root, lambda n: n.furniture() or (n.path in low and not n.shielded)):
         if kind == "text":
-            if inside or not only:
-                parts.append(x)
-            continue
-        if x.tag in ("article", "main"):
-            flush()
-            inside += 1 if kind == "open" else -1
+            parts.append(x)
         elif x.tag in BLOCKS:
             flush()
         elif x.tag == "br":
