@@ -5,7 +5,8 @@ ids and classes. For each node the entropy, over the pages that have it, of how
 (presentation) and of what its text says (content) gives its importance: 1 where every page differs, 0 where
 all are alike. Branches of low importance are a site's furniture and are removed from each page, as are the
 elements whose kind or name says so; the entropies are sums over counts, so no host's pages meet in one task.
-Copies of a page count once, and articles are never judged by their repetition.
+Copies of a page count once. Branches inside of articles are judged over different articles, so that one article on many
+pages is no furniture; an article itself is never removed by its repetition.
 """
 
 from __future__ import annotations
@@ -47,7 +48,10 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
         name = " ".join(sorted(f"{attributes.get('id', '')} {attributes.get('class', '')}".lower().split()))
         self.path = xxhash.xxh3_64_hexdigest(f"{path}>{tag}.{re.sub(r'[0-9]+', '#', name)}")  # stands for the chain, at any depth
-        self.shielded = shielded or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
+        self.shielded = shielded or self.main()
+
+    def main(self) -> bool:
+        return self.tag in ("article", "main") or self.attributes.get("role", "").lower() in ("main", "article")
 
     def furniture(self) -> bool:
         if self.tag in FURNITURE and not (self.tag == "header" and self.shielded):
@@ -145,7 +149,7 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
             blocks.append(text)
         parts.clear()
 
-    for kind, x in walk(root, lambda n: n.furniture() or (n.path in low and not n.shielded)):
+    for kind, x in walk(root, lambda n: n.furniture() or (n.path in low and not n.main())):
         if kind == "text":
             parts.append(x)
         elif x.tag in BLOCKS:
@@ -156,16 +160,20 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def style_nodes(page: str) -> list[tuple[str, int, int]]:
-    """(path, presentation, content) of each element path outside of articles: hashes of its children's layout and of its whole text."""
+def style_nodes(page: str) -> list[tuple[str, int, int, int | None]]:
+    """(path, presentation, content, article) of each element path: hashes of its children's layout, of its whole text and, inside of articles, of all text of the page's articles."""
     root = parse(page)
     layout: dict[str, list[str]] = {}
     text: dict[str, list[str]] = {}
     open_: list[tuple[Node, list[str], list[str]]] = []
-    for kind, x in walk(root, lambda n: n.shielded or n.tag in RAW or n.tag == "head"):
+    inner: set[str] = set()
+    article: list[str] = []
+    for kind, x in walk(root, lambda n: n.tag in RAW or n.tag == "head"):
         if kind == "text":
             if open_ and (said := SPACE.sub(" ", x).strip()):
                 open_[-1][2].append(said)
+                if open_[-1][0].shielded:
+                    article.append(said)
         elif kind == "open":
             if open_:
                 open_[-1][1].append(x.tag)
@@ -174,10 +182,13 @@ def style_nodes(page: str) -> list[tuple[str, int, int]]:
             _, tags, said = open_.pop()
             layout.setdefault(x.path, []).extend(tags)
             text.setdefault(x.path, []).extend(said)
+            if x.shielded:
+                inner.add(x.path)
             if open_ and said:  # a branch says what its children say
                 open_[-1][2].append(xxhash.xxh3_64_hexdigest("\0".join(said)))
     digest = lambda parts: xxhash.xxh3_64_intdigest("\0".join(parts).encode()) - (1 << 63)
-    return [(p, digest(layout[p]), digest(text[p])) for p in layout if text[p]]
+    whole = digest(article)
+    return [(p, digest(layout[p]), digest(text[p]), whole if p in inner else None) for p in layout if text[p]]
 
 
 def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
@@ -195,7 +206,7 @@ def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: floa
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if page:
                     name = xxhash.xxh3_64_intdigest(page) - (1 << 63)
-                    rows += [(h, name, *n) for n in style_nodes(page.decode("utf-8", "replace"))]
+                    rows += [(h, name if article is None else article, *n) for *n, article in style_nodes(page.decode("utf-8", "replace"))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["host", "page", "path", "presentation", "content"])
 
     nodes = pages.mapInArrow(run, "host string, page long, path string, presentation long, content long")
