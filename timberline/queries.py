@@ -14,6 +14,8 @@ from timberline.sources import sinks
 from timberline.sources.lines import event_lines, parsed
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
+#: Where the whole log is cut in two.
+MIDDLE = "2024-01-16 00:00:00"
 
 # Rules of the queries.
 LEVEL_RULES = [rules.ClassifierRule("errors", "failure", r"\bERROR\b", 1.0), rules.ClassifierRule("warnings", "caution", r"\bWARN\b", 0.9), rules.ClassifierRule("money", "sales", r"purchase user=\d+", 0.5)]
@@ -61,6 +63,13 @@ def day(spark: SparkSession, sf_dir: str, date: str) -> DataFrame:
     return slicing.slice_lines(timed(spark, sf_dir), f"{date} 00:00:00", f"{date} 23:59:59").select(F.substring("line", 21, 22).alias("line"))
 
 
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diff of the whole log before and from MIDDLE, by whole messages."""
+    lines, early = timed(spark, sf_dir), F.col("timestamp") < F.lit(MIDDLE).cast("timestamp_ntz")
+    message = F.expr("substring(line, 21)").alias("line")
+    return agg.diff(lines.where(early).select(message), lines.where(~early).select(message))
+
+
 def joined(c: str):
     return F.array_join(c, "|").alias(c)
 
@@ -119,6 +128,9 @@ QUERIES = {
     "q_diff_added": lambda s, d: agg.diff(day(s, d, "2024-01-03"), day(s, d, "2024-01-04")).where("section = 'added'").select("line"),
     "q_diff_removed": lambda s, d: agg.diff(day(s, d, "2024-01-03"), day(s, d, "2024-01-04")).where("section = 'removed'").select("line"),
     "q_diff_common": lambda s, d: agg.diff(day(s, d, "2024-01-03"), day(s, d, "2024-01-04")).where("section = 'common'").select("line"),
+    "q_diff_whole_added": lambda s, d: halves(s, d).where("section = 'added'").select("line"),
+    "q_diff_whole_removed": lambda s, d: halves(s, d).where("section = 'removed'").select("line"),
+    "q_diff_whole_common": lambda s, d: halves(s, d).where("section = 'common'").select("line"),
     "q_multi_profile": lambda s, d: agg.profile_stats(s, mixed(s, d), PROFILES),
     "q_format_json": lambda s, d: sinks.json_lines(timed(s, d)).withColumn("timestamp", F.get_json_object("value", "$.timestamp")).select("timestamp", F.get_json_object("value", "$.line").alias("line")),
     "q_format_csv": lambda s, d: sinks.csv_lines(timed(s, d)).select("value"),
@@ -153,6 +165,10 @@ def _diff(op: str, a: str, b: str) -> str:
     return f"{EVENTS} SELECT trim(substr(line, 21, 22)) AS line FROM ev WHERE CAST(t AS DATE) = DATE '{a}' {op} SELECT trim(substr(line, 21, 22)) FROM ev WHERE CAST(t AS DATE) = DATE '{b}'"
 
 
+def _halves(op: str, a: str, b: str) -> str:
+    return f"{EVENTS} SELECT trim(substr(line, 21)) AS line FROM ev WHERE t {a} TIMESTAMP '{MIDDLE}' {op} SELECT trim(substr(line, 21)) FROM ev WHERE t {b} TIMESTAMP '{MIDDLE}'"
+
+
 def _sessions(gap: int, by: str) -> str:
     over = f"OVER ({'PARTITION BY ' + by if by else ''} ORDER BY ord)"
     key = f"{by} AS user, " if by else ""
@@ -203,6 +219,9 @@ ORACLES: dict[str, str] = {
     "q_diff_added": _diff("EXCEPT", "2024-01-04", "2024-01-03"),
     "q_diff_removed": _diff("EXCEPT", "2024-01-03", "2024-01-04"),
     "q_diff_common": _diff("INTERSECT", "2024-01-03", "2024-01-04"),
+    "q_diff_whole_added": _halves("EXCEPT", ">=", "<"),
+    "q_diff_whole_removed": _halves("EXCEPT", "<", ">="),
+    "q_diff_whole_common": _halves("INTERSECT", "<", ">="),
     "q_multi_profile": f"{MIXED} {_profile}",
     "q_format_json": f"{EVENTS} SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') AS timestamp, line FROM ev",
     "q_format_csv": f"""{EVENTS} SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') || ',' || '"' || replace(line, '"', '""') || '"' AS value FROM ev""",
