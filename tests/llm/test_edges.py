@@ -34,6 +34,7 @@ def test_all_on_empty_and_odd_rows(spark, docs):
         assert language.predict(table, model, added=("_l", "_s")).where("text is null or text = '!!! 123'").where("_l <> 'und'").count() == 0
         for name, stage in corpus_pipeline.STAGES[:4]:
             assert stage(spark, table, "").columns == table.columns, name
+            assert stage(spark, table, "").count() <= 2 * n
         assert "token_ids" in corpus_pipeline.tokens(spark, table, "").columns
 
 
@@ -105,14 +106,17 @@ def test_mixing_targets(spark, sizes):
     assert got == pytest.approx(shares(sizes))
 
 
-def test_mixing_copies(spark):
-    table = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 97 as int))").alias("text"), F.expr("concat('s', id % 3)").alias("source"))
+def test_mixing_copies(spark, monkeypatch):
+    table = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 97 as int))").alias("text"), F.expr("concat('s', id % 3)").alias("source"), F.lit(1).alias("size"), F.lit("c").alias("copies"))
     rows = mixing.mix(table).collect()
-    for source in {r["source"] for r in rows}:
-        own = [r for r in rows if r["source"] == source]
-        assert sum(r["_copies"] * r["_size"] for r in own) == pytest.approx(own[0]["_target"], rel=0.01)
-    assert max(r["_copies"] for r in rows) <= 2
+    for source in {r["row"]["source"] for r in rows}:
+        own = [r for r in rows if r["row"]["source"] == source]
+        assert sum(r["copies"] * r["size"] for r in own) == pytest.approx(own[0]["target"], rel=0.01)
+    assert max(r["copies"] for r in rows) <= 2
     assert Counter(rows) == Counter(mixing.mix(table.repartition(7)).collect())
+    for group_rows in (2999, 200, 2):  # digits of the hash: 1, 1 and 3; the same documents are taken
+        monkeypatch.setattr(mixing, "GROUP_ROWS", group_rows)
+        assert Counter(rows) == Counter(mixing.mix(table).collect())
 
 
 def vectors(spark):

@@ -16,7 +16,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import text_batches
+from timberline.llm import common
 
 #: Byte b is the character with this code point plus b: letters that no normaliser rule would touch.
 MAPPED = 0x100
@@ -116,7 +116,7 @@ class Codec:
     @classmethod
     def of(cls, pieces: list[bytes], pattern: str, newer: str) -> "Codec":
         """One a worker process."""
-        key = (len(pieces), hash(pieces[-1]), pattern, newer)
+        key = (hashlib.sha256(b"".join(len(p).to_bytes(4, "little") + p for p in pieces)).digest(), pattern, newer)
         if key not in cls._held:
             cls._held[key] = cls(pieces, pattern, newer)
         return cls._held[key]
@@ -146,12 +146,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """id_col, n_tokens, then token_ids (ids) and ids_sha256, decoded_sha256 (digests), then the columns `others`.
 
     One row per row of docs, in one pass without a shuffle. A null or empty text has no tokens; its digests are
-    those of the empty string. decoded_sha256 is taken from the ids decoded again.
+    those of the empty string. decoded_sha256 is taken from the ids decoded again. Repeated rows come back as often. A column
+    of `others` named as one of the first is an error; the other columns of docs, whatever their names, are left out.
     """
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
     pieces, newer = read_ranks(path), newer_characters()
+    first = {id_col, "n_tokens", *["token_ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests}
+    if clash := sorted(first & set(others)):
+        raise ValueError(f"columns {clash} are there already")
     chosen = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long"), *others)
     schema = [f"`{id_col}` long", "n_tokens long", *["token_ids array<int>"] * ids, *["ids_sha256 string", "decoded_sha256 string"] * digests]
     schema += [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]]
@@ -160,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         import numpy as np
 
         codec, decimals = Codec.of(pieces, pattern, newer), [str(i) for i in range(len(pieces))]
-        for batch in batches:
+        for batch in common.pieces(batches):
             counts, found, hashes, decoded = [], [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 got = codec.encode((text or b"").decode("utf-8", "replace"))

@@ -4,31 +4,43 @@ splitting of oversized groups, and connected components."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts; bounds what one Python worker holds.
-TEXT_BATCH_ROWS = 256
+#: Bytes of Arrow data that a Python worker handles at once; a single longer row is handled alone. Spark itself ends a batch at
+#: spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so the session's settings need no change.
+PIECE_BYTES = 4 << 20
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Arrow batches with whole texts stay small, however long the documents are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-
-
-def wide_batches(spark: SparkSession, rows: int = 8192) -> None:
-    """Arrow batches of narrow rows of fixed width."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches, most: int = PIECE_BYTES) -> Iterator:
+    """The batches cut into slices of at most about `most` bytes, of one row at least."""
+    for batch in batches:
+        rows = max(1, len(batch))
+        step = max(1, int(most * rows // max(1, batch.nbytes)))
+        for at in range(0, len(batch), step):
+            part = batch.slice(at, step)
+            if len(part) > 1 and part.nbytes > 4 * most:  # a few very long rows among short ones
+                for i in range(len(part)):
+                    yield part.slice(i, 1)
+            else:
+                yield part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary folder, but only if driver and executors are one process; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
         base = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -36,13 +48,41 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: list[tuple] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written` or `new_path` made."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What this process wrote goes when it ends: results may be read until then."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete(spark, path)
+
+
+def new_path(spark: SparkSession, *names: str) -> str:
+    """A path in the shared folder for one table, deleted when this process ends."""
+    path = "/".join([shared_dir(spark), *names[:-1], uuid.uuid4().hex, *names[-1:]])
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    return _write(df, codec)[0]
+
+
+def _write(df: DataFrame, codec: str = "snappy") -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = new_path(spark, "tables", "t")
     df.write.option("compression", codec).parquet(path)
     spark.sparkContext._jvm.System.gc()  # frees the shuffle files of plans that are no longer referenced
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
@@ -50,14 +90,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def block_pairs(df: DataFrame, keys: list[str], row_id: Column, block_rows: int) -> DataFrame:
-    """Adds `pair`, so that (keys, pair) names a group of bounded size.
+def block_pairs(df: DataFrame, keys: list[str], row_id: Column, block_rows: int, weight: Column | None = None, block_weight: int = 1) -> DataFrame:
+    """Adds `pair`, so that (keys, pair) names a group of bounded size, in rows and, if given, in weight.
 
     A key with at most block_rows rows stays whole (pair 0). The rows of a larger key are dealt by the hash of
     row_id to k blocks, and each row is copied to the k pairs of its block with every block: any two rows of a
     key meet in at least one pair, no pair holds much more than 2 * block_rows rows, and nothing is dropped.
     """
-    large = df.groupBy(*keys).count().where(F.col("count") > block_rows).withColumn("_k", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
+    size = F.count("*") / block_rows if weight is None else F.greatest(F.count("*") / block_rows, F.sum(weight) / block_weight)
+    large = df.groupBy(*keys).agg(F.ceil(size).cast("int").alias("_k")).where("_k > 1")
     dealt = df.join(large, keys, "left").withColumn("_s", F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64(row_id, F.lit(7)), F.col("_k")).cast("int")))
     low, high = (lambda t: F.least("_s", t)), (lambda t: F.greatest("_s", t))
     pairs = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
@@ -73,7 +114,7 @@ def components(edges: DataFrame) -> DataFrame:
     the node, so that a hub's edges are never gathered in one task. Ends when a round changes nothing; each
     round is written to the shared folder.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now, path = _write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -85,7 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = written(small)
+        old = path
+        now, path = _write(small)
+        delete(now.sparkSession, old)
 
 
 def local_roots(n: int, pairs) -> "object":

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import components, local_roots, wide_batches, written
+from timberline.llm.common import components, local_roots, pieces, written
 from timberline.llm.vectors import by_dimension
 
 LEAST, WINDOW, BLOCK_ROWS, DENSE_BLOCK, BITS, RECALL, SEED = 0.93, 1024, 4096, 4096, 48, 0.99, 3
@@ -49,7 +49,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
         import numpy as np
 
         planes: dict[int, object] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             out = np.zeros((len(batch), rounds), np.int64)
             for at, matrix in by_dimension(batch.column(1)):
                 d = matrix.shape[1]
@@ -60,7 +60,6 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
             offsets = np.arange(0, out.size + 1, rounds, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1))), batch.column(2), batch.column(3)], ["uid", "keys", "label", "dim"])
 
-    wide_batches(spark, 4096)
     label_type = distinct.schema["label"].dataType.simpleString()
     hashed = distinct.select("uid", "v", "label", F.size("v").alias("dim")).mapInArrow(keys, f"uid long, keys array<long>, label {label_type}, dim int")
     # places in each pass: one range sort of all passes; a row's number within its partition plus the partitions before

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import text_batches, written
+from timberline.llm.common import pieces, written
 from timberline.llm.urls import host
 
 #: Pages that a node needs to be judged, and the importance under which it goes.
@@ -198,10 +198,8 @@ def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: floa
     """
     import pyarrow as pa
 
-    text_batches(pages.sparkSession)
-
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if page:
@@ -231,10 +229,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if low.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), site.alias("host")).join(sites, "host", "left").select(id_col, "url", "html", "low")
-    text_batches(spark)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text((h or b"").decode("utf-8", "replace"), frozenset(low or ())) for h, low in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
 

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import text_batches
+from timberline.llm.common import pieces
 
 #: Buckets of hashed n-grams, their lengths, and the documented bound of the training sample.
 BUCKETS, LENGTHS, SAMPLE_PER_LANGUAGE = 1 << 14, (1, 2, 3), 600
+#: Languages that a model can have; its weights have a column for each.
+MOST_LANGUAGES = 1000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-4, 1e-4
 #: Code points handled at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 20
@@ -96,13 +98,11 @@ def document_frequencies(docs: DataFrame, text_col: str):
     """(documents, array of documents by bucket): one pass over all of docs, summed before anything is shuffled."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
-
     def run(batches):
         import numpy as np
 
         total = np.zeros(BUCKETS + 1, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 if (got := grams(text)) is not None:
                     total[got[0]] += 1
@@ -119,22 +119,24 @@ def document_frequencies(docs: DataFrame, text_col: str):
 
 
 def sampled(docs: DataFrame, per_language: int) -> list:
-    """At most per_language documents of each language, by a hash of the id: (language, buckets, counts, kept back)."""
+    """At most per_language rows of each language, by a hash of id and text: (language, place, buckets, counts). Equal rows count once."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("_lang"), F.xxhash64("doc_id", "text", F.lit(17)).alias("_order"))
+    counts = known.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()  # a row a language
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return []
     # only the smallest hashes go on, about twice as many as are taken, so that no task ranks a whole language
-    known = docs.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(17)).alias("_order")).distinct()
-    shares = known.groupBy("lang").agg((F.lit(2.0 * per_language + 100) / F.count("*")).alias("_share"))  # a row a language, as the model has
-    near = known.join(F.broadcast(shares), "lang").where(F.col("_order") <= F.col("_share") * 2.0**64 - 2.0**63)
-    first = Window.partitionBy("lang").orderBy("_order", "doc_id")
-    chosen = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).select("doc_id", F.col("lang").alias("_lang"), "_n")
-    texts = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["doc_id"]) & (docs["lang"] == F.col("_lang"))).select("_lang", "_n", "text")  # bounded by per_language
+    least = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(2.0**63, (2.0 * per_language + 100) / n * 2.0**64 - 2.0**63))])
+    near = known.where(F.col("_order") <= F.element_at(least, F.col("_lang"))).groupBy("_lang", "_order").agg(F.min("text").alias("text"))
+    texts = near.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_order"))).where(F.col("_n") <= per_language).select("_lang", "_n", "text")
 
     def run(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(*x, grams(t)) for *x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())]
             rows = [(lang, n, got[0].astype(np.int32).tobytes(), got[1].astype(np.int32).tobytes()) for lang, n, got in rows if got is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "n", "buckets", "counts"])
@@ -209,22 +211,40 @@ def temperature(model: Model, rows: list) -> float:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with two columns `added`, a string and a double (0 to 1); `und` and 0 for a null text or one without letters."""
+    """docs with two columns `added`, a string and a double (0 to 1); `und` and 0 for a null text or one without letters.
+
+    One row per row; repeated rows are judged alike, equal scores go to the language first by name. A column of docs named as one of `added` is an error.
+    """
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    text_batches(docs.sparkSession)
     place, names = docs.columns.index(text_col), docs.columns
+    if set(added) & set(names):
+        raise ValueError(f"columns {sorted(set(added) & set(names))} are there already; name others in `added`")
     schema = StructType([*docs.schema.fields]).add(added[0], StringType()).add(added[1], DoubleType())
 
     def run(batches):
-        for batch in batches:
-            got = [model.predict(t) for t in batch.column(place).cast(pa.binary()).to_pylist()]
+        for batch in pieces(batches):
+            got = [model.predict(t.as_py()) for t in batch.column(place).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns whatever their names, whose predicted language is known and has least_score at least."""
+    import pyarrow as pa
+
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in pieces(batches):
+            got = (model.predict(t.as_py()) for t in batch.column(place).cast(pa.binary()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(fold(F.col("doc_id")) != 1))

@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import text_batches, wide_batches, written
+from timberline.llm.common import pieces, written
 
 LENGTH, ANCHOR = 35, 16
 #: Different segments of one anchor held together at most; larger groups are dealt to pairs of blocks.
@@ -212,11 +212,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     spark = docs.sparkSession
     anchor = min(ANCHOR, length)
-    text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def read(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").split()
@@ -244,7 +243,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     needed = standing.join(live.select("uid").distinct(), "uid").join(wanted, "uid", "left")
 
     def keyed(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys = [identity((t or b"").split()) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *batch.columns], ["k1", "k2", "id", "text"])
 
@@ -254,7 +253,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     held = written(content.join(w, same).select("t.k1", "t.k2", "w.uid", "text", "s"), "zstd")
 
     def cut(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for text, s in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 hashes = word_hashes(text.split())
                 parts = [hashes[x["start"] : x["start"] + x["windows"] + length - 1].tobytes() for x in s]
@@ -290,7 +289,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         if held_rows:
             yield answer()
 
-    wide_batches(spark, 2048)
     found = written(dealt.select("anchor", "content", "total", "body", "pair").mapInArrow(search, "anchor long, content long, `from` int, `to` int").distinct())
     start = F.shiftright("at", 20)
     spans = live.join(found, ["anchor", "content"]).select("uid", F.struct((start + F.col("from")).alias("from"), (start + F.col("to")).alias("to")).alias("span"))
@@ -299,7 +297,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     def remove(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in pieces(batches):
             removed, digests = [], []
             for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
                 words = text.split()
@@ -312,7 +310,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                 digests.append(kept_digest([w for w, g in zip(words, gone.tolist()) if not g]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["k1", "k2", "n_removed", "kept"])
 
-    text_batches(spark)
     changed = held.select("uid", "k1", "k2", "text").join(merged, "uid").select("k1", "k2", "text", "spans").mapInArrow(remove, "k1 long, k2 long, n_removed long, kept string").distinct()
     return seen.select("id", "k1", "k2", "n_words", "whole").join(changed, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 

@@ -1,7 +1,7 @@
 """Exact top-k search by tiled matrix products.
 
-Queries and candidates are packed into blocks of bounded size, one matrix a row. A grid of query groups by
-candidate groups deals the blocks; each tile is one matrix product with a partial selection of k for each
+Queries and candidates are dealt to groups by a hash, and each group is packed into blocks of bounded size, one matrix a row, in
+the order of its ids: a task that runs again makes the same blocks. A grid of query groups by candidate groups deals the blocks; each tile is one matrix product with a partial selection of k for each
 query, and a query's partial lists are merged in a tree. Every candidate meets every query once.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import wide_batches
+from timberline.llm.common import pieces
 from timberline.llm.vectors import by_dimension
 
 #: Rows of a block, rows of a group of the grid, and lists merged at a time.
@@ -18,33 +18,41 @@ BLOCK_ROWS, GROUP_ROWS, FAN_IN = 2048, 4096, 32
 EXACT = 2**53
 
 
-def packed(rows: DataFrame, scale: float) -> DataFrame:
-    """(id long, vector array) -> blocks (block long, dim int, ids binary, matrix binary of float64 floor(scale * x))."""
+def packed(rows: DataFrame, group: str, groups: int, scale: float) -> DataFrame:
+    """(id long, vector array) -> blocks (group, dim int, ids binary, matrix binary of float64 floor(scale * x))."""
     import pyarrow as pa
 
-    wide_batches(rows.sparkSession, BLOCK_ROWS)
+    dealt = rows.select(F.pmod(F.xxhash64("id", "vector"), F.lit(groups)).cast("int").alias("g"), "id", "vector", F.xxhash64("vector").alias("tie"))
+    sorted_ = dealt.repartition("g").sortWithinPartitions("g", "id", "tie").select("g", "id", "vector")
 
     def run(batches):
         import numpy as np
 
         held: dict[int, list] = {}
+        now = None
 
         def block(d, parts):
-            ids, matrix = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            name = int(np.bitwise_xor.reduce(ids * np.int64(0x9E3779B97F4A7C1)) & np.int64(0x7FFFFFFFFFFF)) if len(ids) else 0
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], ["block", "dim", "ids", "matrix"])
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, matrix in by_dimension(batch.column(1)):
-                parts = held.setdefault(matrix.shape[1], [])
-                parts.append((ids[at].astype(np.int64), np.floor(scale * matrix)))
-                if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
-                    yield block(matrix.shape[1], held.pop(matrix.shape[1]))
-        for d, parts in held.items():
-            yield block(d, parts)
-
-    return rows.mapInArrow(run, "block long, dim int, ids binary, matrix binary")
+            ids, matrix = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], [group, "dim", "ids", "matrix"])
+
+        for batch in pieces(batches):
+            g = batch.column(0).to_numpy()
+            for at in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
+                if not len(at):
+                    continue
+                if g[at[0]] != now:
+                    yield from (block(d, parts) for d, parts in held.items())
+                    held, now = {}, int(g[at[0]])
+                part = batch.slice(int(at[0]), len(at))
+                ids = part.column(1).to_numpy().astype(np.int64)
+                for own, matrix in by_dimension(part.column(2)):
+                    parts = held.setdefault(matrix.shape[1], [])
+                    parts.append((ids[own], np.floor(scale * matrix)))
+                    if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+                        yield block(matrix.shape[1], held.pop(matrix.shape[1]))
+        yield from (block(d, parts) for d, parts in held.items())
+
+    return sorted_.mapInArrow(run, f"{group} int, dim int, ids binary, matrix binary")
 
 
 def tile(query_ids, queries, ids, matrix, k: int):
@@ -84,20 +92,19 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0, id_c
     chosen = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asked")).where("id is not null and vector is not null")
     total, asked = chosen.agg(F.count("*"), F.count_if("asked")).first()
     candidate_groups, query_groups = max(1, -(-total // GROUP_ROWS)), max(1, -(-asked // GROUP_ROWS))
-    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    candidates = deal(packed(chosen.select("id", "vector"), scale), "cg", candidate_groups, "qg", query_groups).alias("c")
-    queries = deal(packed(chosen.where("asked").select("id", "vector").distinct(), scale), "qg", query_groups, "cg", candidate_groups).alias("q")
+    deal = lambda df, other, m: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    candidates = deal(packed(chosen.select("id", "vector"), "cg", candidate_groups, scale), "qg", query_groups).alias("c")
+    queries = deal(packed(chosen.where("asked").select("id", "vector").distinct(), "qg", query_groups, scale), "cg", candidate_groups).alias("q")
     tiles = candidates.join(queries.hint("shuffle_merge"), ["cg", "qg", "dim"]).select("cg", "dim", F.col("q.ids").alias("qids"), F.col("q.matrix").alias("qmatrix"), F.col("c.ids").alias("cids"), F.col("c.matrix").alias("cmatrix"))
 
     def run(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in pieces(batches):
             for cg, d, qi, qm, ci, cm in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 found = tile(np.frombuffer(qi, np.int64), np.frombuffer(qm).reshape(-1, d), np.frombuffer(ci, np.int64), np.frombuffer(cm).reshape(-1, d), k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), cg), pa.int64()), *map(pa.array, found)], ["node", "query_id", "vec_id", "score"])
 
-    wide_batches(rows.sparkSession, 4)
     lists = tiles.mapInArrow(run, "node long, query_id long, vec_id long, score long")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "vec_id", "score"))), 1, k).alias("best")
     width = candidate_groups
