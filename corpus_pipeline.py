@@ -3,12 +3,10 @@ predecessor kept and is written before the next one reads it."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, common, jaccard, language, mixing, secrets
+from timberline.llm import bpe, common, language, mixing, secrets, simhash
 
 #: SQL has no trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -17,23 +15,14 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in a known language; those without letters, or like no language, go."""
+    """Keeps the documents in a known language; those without letters, or like no language, go. Repeated rows are judged alike."""
     model = language.fit(docs.where(language.fold(F.col("doc_id")) != 1))
-    judged = language.predict(docs, model, added=("_lang", "_score"))
-    return judged.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    return language.keep(docs, model, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays; of its repeated rows, one.
-
-    Rows are judged, not ids: null ids, after all others, and repeated ids stay once for each group.
-    """
-    keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
-    groups = jaccard.groups(keyed.select(F.col("_row").alias("row_key"), F.col("text").cast("string").alias("text"))).distinct()
-    named = keyed.select("doc_id", "_row").join(groups, F.col("_row") == F.col("row_key"))
-    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
-    stay = least.select(F.col("m._row").alias("_row"))
-    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the row with the smallest id stays, null ids last."""
+    return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +31,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes copies of it."""
-    return mixing.mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """As many rows of each document as the mix takes copies of it. Rows are taken by their content: reruns agree, repeated rows share what falls to them."""
+    return mixing.taken(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids of every document."""
+    """doc_id, n_tokens, token_ids, lang, source of every row, repeated ones included; no tokens for a null or empty text."""
     return bpe.encode(docs, *bpe.default_vocabulary(), others=("lang", "source"))
 
 
@@ -64,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is a Parquet table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{common.shared_dir(spark)}/pipeline/{uuid.uuid4().hex}/{name}"
+        path = common.new_path(spark, "pipeline", name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
