@@ -2,17 +2,23 @@
 
 The pages of a host are merged into one tree of presentation: a node is a chain of elements with their names,
 ids and classes. For each node the entropy, over the pages that have it, of how its children are laid out
-(presentation) and of what its text says (content) gives its importance: 1 where every page differs, 0 where
-all are alike. Branches of low importance are a site's furniture and are removed from each page, as are the
-elements whose kind or name says so; the entropies are sums over counts, so no host's pages meet in one task.
-Copies of a page count once. Branches inside of articles are judged over different articles, so that one article on many
-pages is no furniture; an article itself is never removed by its repetition.
+(presentation) and of what its text says (content), each divided by log(pages), gives its importance, their mean: 1 where every page
+differs, 0 where all are alike. Branches of low importance are a site's furniture and are removed from each page. A host
+with few pages takes the importance that a node has over the pages of all hosts.
+
+What a branch is called is a prior: an `ad` or `sidebar` (a whole id or class) must vary in both respects to stay, as its importance is lessened by a half; what
+readers write varies as articles do, so `comments` is lessened by one and never stays. Only where a node is on one page alone, the name
+decides. Elements that HTML itself keeps apart from the text (nav, footer, aside, form, script, ...) never count.
+
+Entropies are sums over counts, so no host's pages meet in one task. Copies of a page count once. Branches inside of articles are
+judged over different articles, so that one article on many pages is no furniture; an article itself is never removed by its repetition.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,10 +27,12 @@ from pyspark.sql import functions as F
 from timberline.llm.common import pieces, written
 from timberline.llm.urls import host
 
-#: Pages that a node needs to be judged, and the importance under which it goes.
-MIN_PAGES, MIN_IMPORTANCE = 8, 0.5
-#: Rows of low nodes that are broadcast at most; more are joined by host.
-BROADCAST_ROWS = 100_000
+#: Pages of a host that a node needs to be judged by that host, and the importance under which it goes.
+MIN_PAGES, MIN_IMPORTANCE = 8, 0.25
+#: By how much a name lessens importance.
+NAMED, COMMENTS = 0.5, 1.0
+#: Rows of low nodes that are broadcast at most; more are joined by host, dealt over SALTS ways.
+BROADCAST_ROWS, SALTS = 100_000, 64
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,12 +41,16 @@ FURNITURE = frozenset("head nav header footer aside form script style noscript t
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|header|masthead|footer|comments?|comment-\w+|disqus|replies|reactions|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|skip-link|toolbar|legal|disclaimer)(?:$|[^a-z])")
+NAMES = frozenset("ad ads adbox ad-box advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar site-header masthead site-footer cookie-notice cookie-banner cookies consent gdpr notice popup modal newsletter newsletter-signup subscribe signup login share-buttons social social-links related-posts recommended pagination pager skip-link toolbar".split())
+READERS = frozenset("comments comment comment-list comments-area comment-section user-comments disqus disqus_thread replies reactions".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
-SPACE = re.compile(r"\s+")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"']++)))?""")
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+INLINE = frozenset("p b i em strong span a li".split())
+SPACE, DIGITS = re.compile(r"\s+"), re.compile("[0-9]+")
 
 
 class Node:
@@ -46,71 +58,97 @@ class Node:
 
     def __init__(self, tag: str, attributes: dict[str, str], path: str, shielded: bool):
         self.tag, self.attributes, self.children = tag, attributes, []
-        name = " ".join(sorted(f"{attributes.get('id', '')} {attributes.get('class', '')}".lower().split()))
-        self.path = xxhash.xxh3_64_hexdigest(f"{path}>{tag}.{re.sub(r'[0-9]+', '#', name)}")  # stands for the chain, at any depth
+        name = " ".join(sorted(self.names()))
+        self.path = xxhash.xxh3_64_hexdigest(f"{path}>{tag}.{DIGITS.sub('#', name)}")  # stands for the chain, at any depth
         self.shielded = shielded or self.main()
 
+    def names(self) -> list[str]:
+        return f"{self.attributes.get('id', '')} {self.attributes.get('class', '')}".lower().split()
+
     def main(self) -> bool:
         return self.tag in ("article", "main") or self.attributes.get("role", "").lower() in ("main", "article")
 
     def furniture(self) -> bool:
+        """Kept apart from the text by HTML itself."""
         if self.tag in FURNITURE and not (self.tag == "header" and self.shielded):
             return True
-        if self.tag in ("html", "body", "article", "main"):
-            return False
         a = self.attributes
-        if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-            return True
-        return bool(NAMED.search(f"{a.get('id', '')} {a.get('class', '')}".lower()))
+        return self.tag not in ("html", "body", "article", "main") and (a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true")
+
+    def prior(self) -> float:
+        """By how much its names lessen its importance."""
+        if self.tag in ("html", "body", "article", "main") or not (names := self.names()):
+            return 0.0
+        return COMMENTS if not READERS.isdisjoint(names) else NAMED if not NAMES.isdisjoint(names) else 0.0
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and text, without recursion; unclosed and crossing elements are closed as browsers would, roughly."""
+    """A tree of elements and text, without recursion, in time proportional to the page; unclosed and crossing elements are closed as browsers would, roughly.
+
+    A `<` that no `>` follows is text, as is all after it; a quote that never ends doesn't keep its tag open.
+    """
     root = Node("", {}, "", False)
-    stack, at, end = [root], 0, len(page)
+    stack, open_, at, end, last = [root], Counter(), 0, len(page), page.rfind(">")
+
+    def close(upto: int) -> None:
+        open_.subtract(n.tag for n in stack[upto:])
+        del stack[upto:]
+
     while at < end:
-        m = MARKUP.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
             stack[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if begin > at:
+            stack[-1].children.append(page[at:begin])
+        if page.startswith("<!--", begin):
+            stop = page.find("-->", begin + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            at = page.find(">", begin) + 1
+            continue
+        m = TAG.match(page, begin) or BROKEN.match(page, begin)
+        if m is None:  # no tag
+            stack[-1].children.append("<")
+            at = begin + 1
             continue
-        tag = m[2].lower()
+        at, tag = m.end(), m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "td", "th") and tag in ("p", "b", "i", "em", "strong", "span", "a", "li"):
-                    break
+            if open_[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if stack[i].tag in ("article", "main", "body", "td", "th") and tag in INLINE:
+                        break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCKS:
                     break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in SIBLINGS.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in ("ul", "ol", "dl", "table", "select", "body", "article"):
-                break
+        if tag in SIBLINGS and any(open_[t] > 0 for t in SIBLINGS[tag]):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in SIBLINGS[tag]:
+                    close(i)
+                    break
+                if stack[i].tag in ("ul", "ol", "dl", "table", "select", "body", "article"):
+                    break
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
         node = Node(tag, attributes, stack[-1].path, stack[-1].shielded)
         stack[-1].children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            stop = RAW_END[tag].search(page, at)
+            at = stop.end() if stop else end
             continue
         if not m[3].rstrip().endswith("/") or tag in BLOCKS or tag in ("a", "b", "i", "em", "span", "strong"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -133,25 +171,32 @@ def walk(root: Node, stop):
             nodes.append(child)
 
 
-def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
-    """Blocks of the main text joined by a line feed. low: paths that the site style tree found unimportant.
+def main_text(page: str | None, low: frozenset[str] = frozenset(), spared: frozenset[str] = frozenset()) -> str:
+    """Blocks of the main text joined by a line feed. low: paths that the site style tree found unimportant; spared: those that it found important in spite of their name.
 
-    All that isn't furniture counts, within an article or main element and outside.
+    All that isn't furniture counts, within an article or main element and outside. References are decoded in each text by itself.
     """
     if not page:
         return ""
     root = parse(page)
     blocks, parts = [], []
 
+    def goes(node: Node) -> bool:
+        if node.furniture():
+            return True
+        if node.main():
+            return False
+        return node.path in low or (node.prior() > 0 and node.path not in spared)
+
     def flush():
-        text = SPACE.sub(" ", references.unescape("".join(parts))).strip()
+        text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
             blocks.append(text)
         parts.clear()
 
-    for kind, x in walk(root, lambda n: n.furniture() or (n.path in low and not n.main())):
+    for kind, x in walk(root, goes):
         if kind == "text":
-            parts.append(x)
+            parts.append(references.unescape(x) if "&" in x else x)
         elif x.tag in BLOCKS:
             flush()
         elif x.tag == "br":
@@ -160,15 +205,17 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def style_nodes(page: str) -> list[tuple[str, int, int, int | None]]:
-    """(path, presentation, content, article) of each element path: hashes of its children's layout, of its whole text and, inside of articles, of all text of the page's articles."""
+def style_nodes(page: str) -> list[tuple[str, int, int, float, int | None]]:
+    """(path, presentation, content, prior, article) of each element path that can be furniture: hashes of its children's layout, of its whole
+    text and, inside of articles, of all text of the page's articles."""
     root = parse(page)
     layout: dict[str, list[str]] = {}
     text: dict[str, list[str]] = {}
+    prior: dict[str, float] = {}
     open_: list[tuple[Node, list[str], list[str]]] = []
     inner: set[str] = set()
     article: list[str] = []
-    for kind, x in walk(root, lambda n: n.tag in RAW or n.tag == "head"):
+    for kind, x in walk(root, Node.furniture):
         if kind == "text":
             if open_ and (said := SPACE.sub(" ", x).strip()):
                 open_[-1][2].append(said)
@@ -180,62 +227,78 @@ def style_nodes(page: str) -> list[tuple[str, int, int, int | None]]:
             open_.append((x, [], []))
         else:
             _, tags, said = open_.pop()
+            if open_ and said:  # a branch says what its children say
+                open_[-1][2].append(xxhash.xxh3_64_hexdigest("\0".join(said)))
+            if x.main():
+                continue
             layout.setdefault(x.path, []).extend(tags)
             text.setdefault(x.path, []).extend(said)
+            prior[x.path] = x.prior()
             if x.shielded:
                 inner.add(x.path)
-            if open_ and said:  # a branch says what its children say
-                open_[-1][2].append(xxhash.xxh3_64_hexdigest("\0".join(said)))
     digest = lambda parts: xxhash.xxh3_64_intdigest("\0".join(parts).encode()) - (1 << 63)
     whole = digest(article)
-    return [(p, digest(layout[p]), digest(text[p]), whole if p in inner else None) for p in layout if text[p]]
-
+    return [(p, digest(layout[p]), digest(text[p]), prior[p], whole if p in inner else None) for p in layout if text[p]]
 
-def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """(host, html) -> (host, path, importance) of the nodes with at least min_pages different pages and importance below the least.
 
-    Importance: the larger of the entropies of presentation and content over the node's pages, divided by log(pages).
-    """
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+    """(host, html) -> (host, path, importance, prior, low): what the tree says of each node that more than one page has, by the host's pages or, with less than min_pages, by all hosts'."""
     import pyarrow as pa
 
     def run(batches):
         for batch in pieces(batches):
             rows = []
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                page = page.as_py()
                 if page:
                     name = xxhash.xxh3_64_intdigest(page) - (1 << 63)
                     rows += [(h, name if article is None else article, *n) for *n, article in style_nodes(page.decode("utf-8", "replace"))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["host", "page", "path", "presentation", "content"])
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["host", "page", "path", "presentation", "content", "prior"])
+
+    nodes = pages.mapInArrow(run, "host string, page long, path string, presentation long, content long, prior double").distinct()
+    counts = nodes.select("host", "path", "prior", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("presentation").alias("feature")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("feature")))).alias("f")).groupBy("host", "path", "prior", "f").agg(F.count("*").alias("c"))
+    counts = written(counts.select("host", "path", "prior", "f.kind", "f.feature", "c"))
+
+    def judged(counts: DataFrame, *keys: str) -> DataFrame:
+        """m, pages that have the node, and its importance."""
+        entropy = counts.groupBy(*keys, "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+        share = F.when(F.col("m") > 1, (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")).otherwise(1.0)
+        return entropy.withColumn("share", share).groupBy(*keys).agg(F.max("m").alias("m"), F.avg("share").alias("importance"))
 
-    nodes = pages.mapInArrow(run, "host string, page long, path string, presentation long, content long")
-    features = nodes.distinct().select("host", "path", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("presentation").alias("feature")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("feature")))).alias("f")).select("host", "path", "f.kind", "f.feature")
-    counts = features.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
-    entropy = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where(F.col("m") >= max(2, min_pages))
-    importance = entropy.withColumn("importance", (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")).groupBy("host", "path").agg(F.max("importance").alias("importance"))
-    return importance.where(F.col("importance") < min_importance)
+    own = judged(counts, "host", "path", "prior")
+    all_ = judged(counts.groupBy("path", "kind", "feature").agg(F.sum("c").alias("c")), "path").select("path", F.col("m").alias("all_m"), F.col("importance").alias("all_importance"))
+    both = own.join(all_, "path").where("all_m > 1")
+    importance = F.when((F.col("m") < min_pages) & (F.col("all_m") > F.col("m")), F.col("all_importance")).otherwise(F.col("importance")) - F.col("prior")
+    return both.select("host", "path", importance.alias("importance"), "prior", (importance < min_importance).alias("low"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id_col, url, text, n_chars: one row per row of pages, with whole pages of any size and depth.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+    """page_id, url, text, n_chars: one row per row of pages, with whole pages of any size and depth. Other columns are left out, whatever their names.
 
     Null or empty html: empty text. Null URLs share one site, the empty host. Repeated rows give the same text each. An empty table gives none.
     """
     import pyarrow as pa
 
-    spark = pages.sparkSession
     site = F.coalesce(host(F.col(url_col).cast("string")), F.lit(""))
-    low = written(low_nodes(pages.select(site.alias("host"), F.col(html_col).cast("string").alias("html"))))
-    sites = low.groupBy("host").agg(F.collect_set("path").alias("low"))
-    if low.count() <= BROADCAST_ROWS:
-        sites = F.broadcast(sites)
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), site.alias("host")).join(sites, "host", "left").select(id_col, "url", "html", "low")
+    tree = style_tree(pages.select(site.alias("host"), F.col(html_col).cast("string").alias("html")), min_pages, min_importance)
+    # nodes that go, and nodes that stay in spite of their name
+    found = written(tree.where(F.col("low") | (F.col("prior") > 0)).select("host", F.when(F.col("low"), F.col("path")).alias("low"), F.when(~F.col("low"), F.col("path")).alias("spared")))
+    sites = found.groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("spared").alias("spared"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), site.alias("host"))
+    if found.count() <= BROADCAST_ROWS:
+        told = rows.join(F.broadcast(sites), "host", "left")
+    else:  # the pages of a large host are many tasks
+        told = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(sites.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
 
     def run(batches):
         for batch in pieces(batches):
-            texts = [main_text((h or b"").decode("utf-8", "replace"), frozenset(low or ())) for h, low in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
+            texts = []
+            for page, low, spared in zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                texts.append(main_text((page.as_py() or b"").decode("utf-8", "replace"), frozenset(low or ()), frozenset(spared or ())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"`{id_col}` long, url string, text string, n_chars long")
+    return told.select("page_id", "url", "html", "low", "spared").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
