@@ -31,7 +31,7 @@ BUCKET_ROWS = 2048
 #: Rows of a bucket compared within one group; larger buckets are dealt to pairs of such blocks.
 BLOCK_ROWS = 16_384
 #: (query, word) lanes compared at a time.
-LANES = 1 << 18
+LANES = 1 << 16
 
 #: Of `similar`: words of a shingle, least similarity as a fraction, longs of a fingerprint, and its radius. Two sets of similarity 0.8 differ in 39 of 256 bits on
 #: average, with a standard deviation of 5.7: about one such pair in a million is beyond the radius.
@@ -182,7 +182,7 @@ def near_pairs(fps, group, radius: int):
         lane_words = np.arange(len(rows)) - (upto[rows] - upto[at]) + own_word[rows]
         near = within(fps[rows], lane_words, planes, valid, radius)
         hit = np.flatnonzero(near)
-        for part in np.array_split(hit, len(hit) // 65_536 + 1):
+        for part in np.array_split(hit, len(hit) // 4096 + 1):
             lane, bit = np.nonzero(np.unpackbits(near[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b = rows[part][lane], row_of[lane_words[part][lane] * 64 + bit]
             yield a[a < b], b[a < b]
