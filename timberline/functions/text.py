@@ -14,6 +14,11 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
+def once(c: Column, use) -> Column:
+    """use(c), with c computed once and written once into the plan's code, however often use names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def blank(c: Column) -> Column:
     return strip(c) == ""
 

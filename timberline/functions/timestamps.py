@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timberline.errors import SpecError, need
 from timberline.functions.regexes import compiled, to_java
+from timberline.functions.text import once
 
 
 @dataclass(frozen=True)
@@ -26,8 +27,8 @@ class TimeFormat:
 
 # The built-in layouts, in the order in which they are tried.
 ISO = TimeFormat(r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", "yyyy-MM-dd HH:mm:ss", iso=True)
-SYSLOG = TimeFormat(r"([A-Z][a-z]{2}\s+\d{1,2}\s\d{2}:\d{2}:\d{2})", "yyyy MMM d HH:mm:ss", lead="1900 ")
-APACHE = TimeFormat(r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2})", "dd/MMM/yyyy:HH:mm:ss")
+SYSLOG = TimeFormat(r"([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2})", "yyyy MMM d HH:mm:ss", lead="1900 ")
+APACHE = TimeFormat(r"(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2})", "dd/MMM/yyyy:HH:mm:ss")
 DEFAULT = (ISO, SYSLOG, APACHE)
 
 # Strptime directives, their Java letters, and the text that each matches.
@@ -56,8 +57,7 @@ def text_of(line: Column, f: TimeFormat) -> Column:
     return F.when(line.rlike(to_java(f.pattern)), F.regexp_extract(line, to_java(f.pattern), group))
 
 
-def _time(line: Column, f: TimeFormat) -> Column:
-    text = text_of(line, f)
+def _time(text: Column, f: TimeFormat) -> Column:
     text = F.replace(text, F.lit("T"), F.lit(" ")) if f.iso else F.regexp_replace(text, r"\s+", " ")
     return F.try_to_timestamp(F.concat(F.lit(f.lead), text) if f.lead else text, F.lit(f.java)).cast("timestamp_ntz")
 
@@ -65,20 +65,22 @@ def _time(line: Column, f: TimeFormat) -> Column:
 def timestamp(line: Column, formats: tuple[TimeFormat, ...] = DEFAULT) -> Column:
     """TIMESTAMP_NTZ or null; fractions and offsets are dropped, years that the layout lacks are 1900."""
     need(len(formats) > 0, "at least one time format")
-    return F.coalesce(*[_time(line, f) for f in formats])
+    return F.coalesce(*[_time(text_of(line, f), f) for f in formats])
 
 
 def timestamp_text(line: Column, formats: tuple[TimeFormat, ...] = DEFAULT) -> Column:
     """The text that the timestamp was read from, or null."""
-    return F.coalesce(*[F.when(_time(line, f).isNotNull(), text_of(line, f)) for f in formats])
+    read = lambda f: once(text_of(line, f), lambda text: F.when(_time(text, f).isNotNull(), text))
+    return F.coalesce(*map(read, formats))
 
 
 # Layouts of bounds that users give.
-BOUND_LAYOUTS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M")
+BOUND_LAYOUTS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%b %d %H:%M:%S", "%d/%b/%Y:%H:%M:%S")
 
 
 def bound(value):
-    """A datetime from a string in one of four layouts, or a datetime (its zone dropped), or None."""
+    """A datetime from a string in one of four layouts (the year is 1900 where a layout lacks it), or a datetime (its zone dropped), or None."""
+    import warnings
     from datetime import datetime
 
     if value is None:
@@ -87,7 +89,9 @@ def bound(value):
         return value.replace(tzinfo=None)
     for layout in BOUND_LAYOUTS:
         try:
-            return datetime.strptime(str(value).strip(), layout)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", DeprecationWarning)  # a layout without a year
+                return datetime.strptime(str(value).strip(), layout)
         except ValueError:
             continue
     raise SpecError(f"not a date and time: {value!r}")

@@ -116,15 +116,17 @@ def merge(*parsed: DataFrame) -> DataFrame:
     return out.orderBy("timestamp", "file_idx", "ord")
 
 
-def profile_stats(spark: SparkSession, parsed: DataFrame, profiles: list) -> DataFrame:
-    """For every profile (name, start, end): the counts of its range, all profiles in one scan. Of equal names the last wins."""
+def profile_stats(spark: SparkSession, parsed: DataFrame, profiles: list, times: dict[str, Column] | None = None) -> DataFrame:
+    """For every profile (name, start, end): the counts of its range, all profiles in one scan. Of equal names the last wins.
+
+    times: the timestamp as a profile reads it, by name, where that is not the column timestamp."""
     named = {p.name: p for p in profiles}
     need(len(named) > 0, "at least one profile")
-    ts = F.col("timestamp")
     columns = []
     for i, p in enumerate(named.values()):
+        ts = (times or {}).get(p.name, F.col("timestamp"))
         hit = in_range(ts, p.start, p.end) & ts.isNotNull()
-        columns += [F.count_if(hit).alias(f"n{i}"), F.min(F.when(hit, ts)).alias(f"a{i}"), F.max(F.when(hit, ts)).alias(f"b{i}")]
-    totals = parsed.agg(F.count("*").alias("total"), F.count_if(ts.isNull()).alias("unparseable"), *columns)
-    rows = F.array(*[F.struct(F.lit(n).alias("profile"), F.col("total").alias("total_lines"), F.col(f"n{i}").alias("matched_lines"), F.col("unparseable").alias("unparseable_lines"), F.col(f"a{i}").alias("first_matched_ts"), F.col(f"b{i}").alias("last_matched_ts")) for i, n in enumerate(named)])
+        columns += [F.count_if(hit).alias(f"n{i}"), F.min(F.when(hit, ts)).alias(f"a{i}"), F.max(F.when(hit, ts)).alias(f"b{i}"), F.count_if(ts.isNull()).alias(f"u{i}")]
+    totals = parsed.agg(F.count("*").alias("total"), *columns)
+    rows = F.array(*[F.struct(F.lit(n).alias("profile"), F.col("total").alias("total_lines"), F.col(f"n{i}").alias("matched_lines"), F.col(f"u{i}").alias("unparseable_lines"), F.col(f"a{i}").alias("first_matched_ts"), F.col(f"b{i}").alias("last_matched_ts")) for i, n in enumerate(named)])
     return totals.select(F.inline(rows))

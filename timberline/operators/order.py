@@ -13,16 +13,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.errors import need
-from timberline.functions.text import blank, strip, without_first
+from timberline.functions.text import blank, once, strip, without_first
 from timberline.functions.timestamps import DEFAULT, timestamp_text
 
 BLOCK = 100_000
+_held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Frees what `placed` keeps. For when the results made so far have been read: one read later may number lines anew."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def placed(df: DataFrame, *by: str) -> DataFrame:
-    """Adds pos, the 0-based place in the order of the columns `by` (ord, unless others are given)."""
+    """Adds pos, the 0-based place in the order of the columns `by` (ord, unless others are given).
+
+    The sorted rows are kept (memory, then disk), as range bounds are drawn anew by each sort; see `release`."""
     by = by or ("ord",)
     ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()).persist()
+    _held.append(ordered)
     counts = sorted(map(tuple, ordered.groupBy(F.shiftright("_id", 33).alias("p")).count().collect()))  # a row for each partition
     begins, total = [], 0
     for part, n in counts:
@@ -64,12 +74,18 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, on).drop(*held.values())
 
 
-def context(lines: DataFrame, predicate: Column, before: int = 2, after: int = 2) -> DataFrame:
-    """line_number (from 1), matched_line, before, after: neighbours are those of all lines; contexts may overlap."""
+def context(lines: DataFrame, predicate: Column | Callable[[str], bool], before: int = 2, after: int = 2) -> DataFrame:
+    """line_number (from 1), matched_line, before, after: neighbours are those of all lines; contexts may overlap.
+
+    predicate: a column, or a Python function of the line, called in Arrow batches. A line goes to every block that a
+    hit near it may be in, however many that are."""
     need(before >= 0 and after >= 0, "before and after must not be negative")
+    if not isinstance(predicate, Column):
+        fits = predicate
+        predicate = F.pandas_udf(lambda texts: texts.map(lambda x: x is not None and bool(fits(x))), "boolean")(F.col("line"))
     numbered = placed(lines).withColumn("_hit", F.coalesce(predicate, F.lit(False)))
     own = F.floor(F.col("pos") / BLOCK)
-    shared = numbered.withColumn("_own", own).withColumn("_block", F.explode(F.array_distinct(F.array(own, F.floor((F.col("pos") + before) / BLOCK), F.floor(F.greatest(F.col("pos") - after, F.lit(0)) / BLOCK)))))
+    shared = numbered.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - after, F.lit(0)) / BLOCK), F.floor((F.col("pos") + before) / BLOCK))))
     w = Window.partitionBy("_block").orderBy("pos")
     near = lambda a, b: F.collect_list("line").over(w.rowsBetween(a, b)) if b >= a else F.array().cast("array<string>")
     found = shared.withColumns({"_before": near(-before, -1), "_after": near(1, after)})
@@ -112,7 +128,7 @@ def sessions(parsed: DataFrame, gap_seconds: float, by: list[str] = (), compat_z
 
 def message_key(line: Column, formats=DEFAULT) -> Column:
     """The line without the text of its timestamp, stripped."""
-    return strip(without_first(line, timestamp_text(line, formats)))
+    return once(timestamp_text(line, formats), lambda text: strip(without_first(line, text)))
 
 
 def dedup(parsed: DataFrame, window_seconds: float = 60, key: Column | None = None, formats=DEFAULT) -> DataFrame:

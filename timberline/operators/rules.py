@@ -61,12 +61,17 @@ def pattern_match(lines: DataFrame, rules: list[PatternRule]) -> DataFrame:
 
 
 def annotate(lines: DataFrame, tags: dict[str, list[str]], timestamps: DataFrame | None = None) -> DataFrame:
-    """Adds tags: those with any keyword in the line, in either case. timestamps (ord, timestamp): joined by place, inner."""
+    """Adds tags: those with any keyword in the line, in either case. timestamps (ord, timestamp): the n-th goes to the n-th line, and the
+    shorter of both ends it."""
     need(all(t and ks for t, ks in tags.items()), "tags and keywords must not be empty")
     low = F.lower("line")
     marks = [F.when(F.greatest(*[low.contains(k.lower()) for k in ks], F.lit(False)), F.lit(t)) for t, ks in tags.items()]
     out = lines.withColumn("tags", F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>"))
-    return out if timestamps is None else out.join(timestamps, "ord")
+    if timestamps is None:
+        return out
+    from timberline.operators.order import placed
+
+    return placed(out).join(placed(timestamps.select("ord", "timestamp")).select("pos", "timestamp"), "pos").drop("pos")
 
 
 @dataclass(frozen=True)

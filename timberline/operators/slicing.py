@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.timestamps import checked_range
+from timberline.functions.timestamps import bound
 
 NTZ = "timestamp_ntz"
 
 
 def in_range(ts: Column, start=None, end=None, include_unparsed: bool = False) -> Column:
-    """Both bounds inclusive, a null bound open; lines without a timestamp as the flag says."""
-    start, end = checked_range(start, end)
+    """Both bounds inclusive, a null bound open; lines without a timestamp as the flag says. Equal bounds take one instant, reversed ones nothing."""
+    start, end = bound(start), bound(end)
     inside = F.lit(True)
     if start is not None:
         inside = inside & (ts >= F.lit(str(start)).cast(NTZ))
@@ -26,7 +26,7 @@ def slice_lines(parsed: DataFrame, start=None, end=None, include_unparsed: bool
 
 
 def line_status(ts: Column, start=None, end=None) -> Column:
-    start, end = checked_range(start, end)
+    start, end = bound(start), bound(end)
     out = F.when(ts.isNull(), "unparseable")
     if start is not None:
         out = out.when(ts < F.lit(str(start)).cast(NTZ), "before")

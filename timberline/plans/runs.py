@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.errors import SpecError, need
+from timberline.functions.timestamps import timestamp
 from timberline.operators.aggregates import profile_stats
 from timberline.operators.slicing import slice_lines, slice_stats
 from timberline.plans.config import FilterProfile, SliceConfig
@@ -38,9 +39,11 @@ def run_profile(spark: SparkSession, profile: FilterProfile, path: str, output_p
 
 
 def run_profiles(spark: SparkSession, path: str, profiles: list[FilterProfile]) -> DataFrame:
-    """All profiles in one scan; they share the time formats of the first."""
+    """All profiles in one scan, each with its own time formats; those of equal formats read the time once."""
     need(len(profiles) > 0, "at least one profile")
-    return profile_stats(spark, parsed(read_lines(spark, path), profiles[0].formats), profiles)
+    kinds = list(dict.fromkeys(p.formats for p in profiles))
+    lines = read_lines(spark, path).withColumns({f"_t{i}": timestamp(F.col("line"), formats) for i, formats in enumerate(kinds)})
+    return profile_stats(spark, lines, profiles, {p.name: F.col(f"_t{kinds.index(p.formats)}") for p in profiles})
 
 
 def fingerprint(spark: SparkSession, config: SliceConfig) -> str:

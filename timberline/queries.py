@@ -121,6 +121,7 @@ QUERIES = {
     "q_threshold_alert": lambda s, d: agg.alerts(log(s, d), THRESHOLDS),
     "q_context": lambda s, d: order.context(log(s, d), F.col("line").contains("ERROR"), 2, 1).select("line_number", "matched_line", joined("before"), joined("after")),
     "q_dedup": lambda s, d: order.dedup(timed(s, d), 300, F.substring("line", 21, 5)).select("key", "raw", "count", "first_seen", "last_seen", "first_ord"),
+    "q_dedup_message": lambda s, d: order.dedup(timed(s, d), 86_400).select("key", "raw", "count", "first_seen", "last_seen", "first_ord"),
     "q_sessions_global": lambda s, d: order.sessions(timed(s, d), 600),
     "q_sessions_by_user": lambda s, d: order.sessions(timed(s, d).withColumn("user", F.regexp_extract("line", r"user=(\d+)", 1)), 6 * 3600, ["user"]),
     "q_sample": lambda s, d: order.sample(slicing.slice_lines(timed(s, d), START, END), 97).select("ord", "idx", "step", "is_exact"),
@@ -169,6 +170,10 @@ def _halves(op: str, a: str, b: str) -> str:
     return f"{EVENTS} SELECT trim(substr(line, 21)) AS line FROM ev WHERE t {a} TIMESTAMP '{MIDDLE}' {op} SELECT trim(substr(line, 21)) FROM ev WHERE t {b} TIMESTAMP '{MIDDLE}'"
 
 
+def _dedup(key: str, seconds: int) -> str:
+    return f"{EVENTS}, k AS (SELECT *, {key} AS key FROM ev), f AS (SELECT *, CASE WHEN epoch(t) - epoch(lag(t) OVER (PARTITION BY key ORDER BY ord)) <= {seconds} THEN 0 ELSE 1 END AS n FROM k), g AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ord) AS run FROM f) SELECT key, arg_min(line, ord) AS raw, count(*) AS count, arg_min(t, ord) AS first_seen, arg_max(t, ord) AS last_seen, min(ord) AS first_ord FROM g GROUP BY key, run"
+
+
 def _sessions(gap: int, by: str) -> str:
     over = f"OVER ({'PARTITION BY ' + by if by else ''} ORDER BY ord)"
     key = f"{by} AS user, " if by else ""
@@ -211,7 +216,8 @@ ORACLES: dict[str, str] = {
     "q_summary_top": f"{EVENTS}, c AS (SELECT substr(trim(substr(line, 21)), 1, 80) AS message, count(*) AS count, min(ord) AS first_ord FROM ev GROUP BY 1) SELECT message, count, first_ord, CAST(row_number() OVER (ORDER BY count DESC, first_ord) AS INT) AS place FROM c ORDER BY count DESC, first_ord LIMIT 10",
     "q_threshold_alert": f"{EVENTS}, r(rule_name, pattern, threshold) AS (VALUES ('errors', 'ERROR', 100::BIGINT), ('user 7', 'user=7 ', 1000000::BIGINT), ('none', 'nothing like it', 1::BIGINT)) SELECT rule_name, threshold, count(line) AS matched_count, count(line) >= threshold AS triggered FROM r LEFT JOIN ev ON contains(line, pattern) GROUP BY rule_name, threshold",
     "q_context": f"{EVENTS}, w AS (SELECT row_number() OVER (ORDER BY ord) AS line_number, line, lag(line, 2) OVER (ORDER BY ord) AS b2, lag(line) OVER (ORDER BY ord) AS b1, lead(line) OVER (ORDER BY ord) AS a1 FROM ev) SELECT line_number, line AS matched_line, concat_ws('|', b2, b1) AS before, coalesce(a1, '') AS after FROM w WHERE contains(line, 'ERROR')",
-    "q_dedup": f"{EVENTS}, k AS (SELECT *, substr(line, 21, 5) AS key FROM ev), f AS (SELECT *, CASE WHEN epoch(t) - epoch(lag(t) OVER (PARTITION BY key ORDER BY ord)) <= 300 THEN 0 ELSE 1 END AS n FROM k), g AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ord) AS run FROM f) SELECT key, arg_min(line, ord) AS raw, count(*) AS count, arg_min(t, ord) AS first_seen, arg_max(t, ord) AS last_seen, min(ord) AS first_ord FROM g GROUP BY key, run",
+    "q_dedup": _dedup("substr(line, 21, 5)", 300),
+    "q_dedup_message": _dedup("trim(substr(line, 20))", 86_400),
     "q_sessions_global": _sessions(600, ""),
     "q_sessions_by_user": _sessions(21600, "CAST(user_id AS VARCHAR)"),
     "q_sample": f"{EVENTS}, p AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS pos, count(*) OVER () AS total FROM ev WHERE {INSIDE}) SELECT ord, pos // step AS idx, step, total <= CAST(ceil(total / step) AS BIGINT) AS is_exact FROM (SELECT *, CAST(greatest(1, ceil(total / 97)) AS BIGINT) AS step FROM p) WHERE pos % step = 0",
