@@ -1,8 +1,8 @@
 """Embedding near-dedup by sorted projection passes.
 
 In each pass the vectors of a label are ordered by the concatenated signs of random projections, and each is
-compared with the WINDOW vectors after it. The number of passes follows from the largest label, so that a pair
-at the least similarity is met with probability RECALL. A pair is counted in the first pass that meets it (the places in all passes
+compared with the WINDOW vectors after it. The number of passes follows from the size of the label, so that a pair
+at the least similarity is met with probability RECALL if signs halve the label; one pass meets all pairs of a label that fits the window. A pair is counted in the first pass that meets it (the places in all passes
 travel with the vector), and a block gives its components as edges to one member: pairs are never emitted.
 Vectors whose window is full of links are compared with all such vectors of their label, in pairs of blocks,
 so that groups larger than the window lose nothing.
@@ -12,20 +12,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import components, local_roots, pieces, written
 from timberline.llm.vectors import by_dimension
 
-LEAST, WINDOW, BLOCK_ROWS, DENSE_BLOCK, BITS, RECALL, SEED = 0.93, 1024, 4096, 4096, 48, 0.99, 3
+LEAST, WINDOW, BLOCK_ROWS, DENSE_BLOCK, BITS, RECALL, SEED = 0.93, 1024, 4096, 4096, 48, 0.999, 3
+#: Of a label that is larger than the window.
 FEWEST_PASSES = 4
 
 
-def passes(largest: int, least: float = LEAST, window: int = WINDOW) -> int:
+def passes(size: Column, least: float = LEAST) -> Column:
     """With n vectors, a window is reached by those that share log2(n / window) signs; a sign is shared with probability 1 - angle / pi."""
-    shared = (1 - math.acos(least) / math.pi) ** max(0.0, math.log2(max(1, largest) / window))
-    return FEWEST_PASSES if shared > 1 - 1e-9 else max(FEWEST_PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - shared)))
+    shared = F.pow(F.lit(1 - math.acos(least) / math.pi), F.log2(size / WINDOW))
+    needed = F.ceil(F.lit(math.log(1 - RECALL)) / F.log(1 - shared))
+    return F.when(size <= WINDOW + 1, 1).otherwise(F.greatest(F.lit(FEWEST_PASSES), needed)).cast("int")
 
 
 def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -42,8 +44,8 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     every = every.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     distinct = written(every.where(usable).groupBy("label", "h1", "h2", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()))
-    largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    rounds = passes(largest, least)
+    turns = written(distinct.groupBy("label").count().select("label", passes(F.col("count"), least).alias("turns")))  # a row a label
+    rounds = turns.agg(F.max("turns")).first()[0] or 1
 
     def keys(batches):
         import numpy as np
@@ -63,7 +65,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     label_type = distinct.schema["label"].dataType.simpleString()
     hashed = distinct.select("uid", "v", "label", F.size("v").alias("dim")).mapInArrow(keys, f"uid long, keys array<long>, label {label_type}, dim int")
     # places in each pass: one range sort of all passes; a row's number within its partition plus the partitions before
-    ordered = hashed.select("uid", "label", "dim", F.posexplode("keys").alias("pass", "key")).repartitionByRange("pass", "label", "dim", "key", "uid").sortWithinPartitions("pass", "label", "dim", "key", "uid")
+    ordered = hashed.join(turns, "label").select("uid", "label", "dim", F.posexplode(F.slice("keys", F.lit(1), F.col("turns"))).alias("pass", "key")).repartitionByRange("pass", "label", "dim", "key", "uid").sortWithinPartitions("pass", "label", "dim", "key", "uid")
     numbered = written(ordered.select("uid", F.col("pass"), F.monotonically_increasing_id().alias("n")))
     begins, total = {}, 0
     for part, count in sorted(map(tuple, numbered.groupBy(F.shiftright("n", 33).alias("part")).count().collect())):  # a row for each partition
@@ -125,7 +127,10 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
         vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
         labels = np.unique(np.array([str(x) for x in table.column("label").to_pylist()]), return_inverse=True)[1]
         uid, copies = (table.column(c).to_numpy() for c in ("uid", "copies"))
-        place = np.array(table.column("places").to_pylist(), np.int64).reshape(len(uid), rounds)
+        # a label of fewer passes has places in these alone; in the others its vectors lie apart
+        place = np.repeat(-(np.arange(len(uid), dtype=np.int64) + 1)[:, None] * (2 * WINDOW + 2), rounds, axis=1)
+        for i, own in enumerate(table.column("places").to_pylist()):
+            place[i, : len(own)] = own
         extra = [table.column(c).to_numpy() for c in names]
         for at, matrix in by_dimension(vectors):
             yield uid[at], labels[at], matrix, copies[at], place[at], [e[at] for e in extra]

@@ -123,7 +123,7 @@ def sampled(docs: DataFrame, per_language: int) -> list:
     import pyarrow as pa
 
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("_lang"), F.xxhash64("doc_id", "text", F.lit(17)).alias("_order"))
-    counts = known.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()  # a row a language
+    counts = known.select("_lang", "_order").distinct().groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()  # a row a language
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:

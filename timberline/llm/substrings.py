@@ -24,6 +24,8 @@ from timberline.llm.common import pieces, written
 LENGTH, ANCHOR = 35, 16
 #: Different segments of one anchor held together at most; larger groups are dealt to pairs of blocks.
 BLOCK_SEGMENTS = 8_192
+#: Anchors with more than a HOTth of the rows are dealt with apart.
+HOT = 1000
 #: Words of segments that make a shard complete (at the next change of anchor).
 SHARD_WORDS = 400_000
 MIX = 0x9E3779B97F4A7C15
@@ -234,8 +236,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     spread = seen.select("uid", F.explode(F.arrays_zip("anchor", "start", "windows", "content")).alias("s")).select(
         "uid", "s.anchor", (F.shiftleft(F.col("s.start").cast("long"), 20) + F.col("s.windows")).alias("at"), "s.content"
     )
-    often = spread.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    live = written(spread.join(often, "anchor"), "zstd")
+    often = written(spread.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    # no more than HOT anchors can have so large a share of the rows: that few are broadcast, and their rows stay where they are
+    large = F.col("n") > (often.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(often.where(large).select("anchor"))
+    live = written(spread.join(hot, "anchor", "left_semi").unionByName(spread.join(hot, "anchor", "left_anti").join(often.where(~large).select("anchor"), "anchor")), "zstd")
     bodies = written(live.groupBy("anchor", "content").agg(F.count("*").alias("total"), F.min(F.struct("uid", "at")).alias("first")).select("anchor", "content", "total", "first.*"), "zstd")
     wanted = bodies.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "total", F.shiftright("at", 20).alias("start"), F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).alias("windows"))).alias("s"))
     # one row stands for all with the same words: the first by uid, which is also the first to hold any of its segments
@@ -311,7 +316,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["k1", "k2", "n_removed", "kept"])
 
     changed = held.select("uid", "k1", "k2", "text").join(merged, "uid").select("k1", "k2", "text", "spans").mapInArrow(remove, "k1 long, k2 long, n_removed long, kept string").distinct()
-    return seen.select("id", "k1", "k2", "n_words", "whole").join(changed, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    result = lambda df, removed, kept: df.select(F.col("id").alias(id_col), "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+    long = seen.where(F.col("n_words") >= length).select("id", "k1", "k2", "n_words", "whole").join(changed, ["k1", "k2"], "left")
+    short = seen.where(F.col("n_words") < length)  # has no window; as many empty texts as there may be stay where they are
+    return result(long, F.coalesce("n_removed", F.lit(0)), F.coalesce("kept", "whole")).unionByName(result(short, F.lit(0), F.col("whole")))
 
 
 def shards(segments: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 URLs that a list of host and path rules judges are the labelled transactions: their tokens and the verdict. FP-growth
 mines token combinations; those that imply a verdict with enough support and confidence, and that no part of
-them implies as surely, are the learned rules. An inverted index from a token to the rules that hold it finds
+them implies as surely, are the learned rules. An inverted index from a rule's rarest token to the rule finds
 the rules of a URL; URLs with the same tokens are judged once.
+
+Tokens that occur in the very same labelled URLs (a host and those above it, say) would double the combinations with each of
+them, though a combination with several of them is implied by its part with one. So one token stands for all of them while mining, and each
+rule is then written out for every choice of one token of each class: the pruned rules are the same, and need not be mined.
 """
 
 from __future__ import annotations
@@ -73,22 +77,40 @@ def learn(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
     A rule goes if it has a verdict among its conditions, or if a rule with a part of its tokens says the same with no less confidence.
     """
-    transactions = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    # tokens of the same URLs have the same number and sums of hashes; only frequent ones can be in a rule
+    alike = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")).withColumns({"a": F.xxhash64("tokens", "verdict").cast("decimal(38,0)"), "b": F.xxhash64(F.lit(1), "tokens", "verdict").cast("decimal(38,0)")})
+    seen = alike.select(F.explode("tokens").alias("token"), "n", "a", "b").groupBy("token").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("n") >= min_support * labelled.count())
+    # no more than 1 / min_support tokens of a URL's length each can be frequent: a small table
+    classes = written(seen.groupBy("n", "a", "b").agg(F.array_sort(F.collect_set("token")).alias("members")).select(F.col("members")[0].alias("token"), "members"))
+    standing = labelled.withColumn("t", F.monotonically_increasing_id()).select("t", "verdict", F.explode("tokens").alias("token")).join(classes.select("token"), "token").groupBy("t", "verdict").agg(F.collect_set("token").alias("tokens"))
+    transactions = standing.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    if transactions.isEmpty():  # no token is frequent
+        return labelled.sparkSession.createDataFrame([], "rule_tokens array<string>, size int, verdict string, confidence double, support double")
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions).associationRules
     rules = found.where(F.col("consequent")[0].startswith("v:") & ~F.exists("antecedent", lambda t: t.startswith("v:"))).select(
         F.array_sort("antecedent").alias("rule_tokens"), F.size("antecedent").alias("size"), F.substring(F.col("consequent")[0], 3, 99).alias("verdict"), "confidence", "support"
     )
     rules = written(rules)
+    # support and confidence are shares of all labelled URLs, of which some may have no frequent token
+    rules = rules.withColumn("support", F.col("support") * F.lit(transactions.count() / max(1, labelled.count()))).where(F.col("support") >= min_support * (1 - 1e-12))
     # a shorter rule is found by one token it shares; the parts of a rule are among the rules of its tokens
     part = rules.select(F.col("rule_tokens").alias("part"), F.col("size").alias("part_size"), "verdict", F.col("confidence").alias("part_confidence"), F.col("rule_tokens")[0].alias("token"))
     whole = rules.withColumn("token", F.explode("rule_tokens"))
     weaker = whole.join(part, ["token", "verdict"]).where((F.col("part_size") < F.col("size")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "rule_tokens")) == 0)).select("rule_tokens", "verdict").distinct()
-    return written(rules.join(weaker, ["rule_tokens", "verdict"], "left_anti"))
+    pruned = rules.join(weaker, ["rule_tokens", "verdict"], "left_anti").withColumn("rule", F.monotonically_increasing_id())
+    held = written(pruned)
+    choices = held.select("rule", F.explode("rule_tokens").alias("token")).join(classes, "token").groupBy("rule").agg(F.collect_list("members").alias("members"))
+    every = F.aggregate("members", F.array(F.array().cast("array<string>")), lambda done, next_: F.flatten(F.transform(done, lambda d: F.transform(next_, lambda t: F.concat(d, F.array(t))))))
+    return written(held.join(choices, "rule").select(F.explode(every).alias("rule_tokens"), "size", "verdict", "confidence", "support").withColumn("rule_tokens", F.array_sort("rule_tokens")))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """tokens array -> tokens, verdict: that of the most confident learned rule that fits (then support, then fewer tokens, then order); none: no row."""
-    index = rules.withColumn("token", F.col("rule_tokens")[0])
+    held = rules.withColumn("rule", F.monotonically_increasing_id()).withColumn("token", F.explode("rule_tokens"))
+    often = urls.select(F.explode("tokens").alias("token")).join(held.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    # a rule with a token that no URL has fits none; else it is found by its rarest token
+    rarest = held.join(often, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("r"), *(F.first(c).alias(c) for c in ("rule_tokens", "verdict", "confidence", "support", "size")))
+    index = rarest.where("r.n > 0").withColumn("token", F.col("r.token")).drop("r", "rule")
     hit = urls.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     best = F.max_by("verdict", F.struct("confidence", "support", -F.col("size"), "rule_tokens"))
     return hit.groupBy("tokens").agg(best.alias("learned"))
