@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -95,6 +97,31 @@ def newer_characters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
+def in_ascii(pattern: str):
+    """findall of the pattern for ASCII texts by the standard library, which is faster; None if the pattern names other classes than letters and numbers."""
+    letters = re.sub(r"\[(\^?[^\]]*)\]", lambda m: "[" + m[1].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9") + "]", pattern).replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    return None if re.search(r"\\[pP]|\(\?[^:!=<]|\\[^sS]", letters) else re.compile(letters, re.ASCII).findall
+
+
+class Memory(dict):
+    """Answers by pre-token, made when first asked for; those of long pre-tokens are not kept."""
+
+    def __init__(self, answer):
+        self.answer = answer
+
+    def __missing__(self, token: str):
+        raw = token.encode()
+        out = self.answer(raw)
+        if len(raw) <= CACHE_BYTES:
+            self[token] = out
+        return out
+
+    def of(self, tokens: list[str]) -> list:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return list(map(self.__getitem__, tokens))
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to bytes. Built from the pieces by rank and the pre-token pattern;
     `newer` are characters that \\p{L} and \\p{N} of the pattern must not match (see newer_characters)."""
@@ -105,13 +132,15 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.pieces, self.split_ascii = pieces, regex.compile(pattern).findall
+        self.pieces, self.split_ascii = pieces, in_ascii(pattern) or regex.compile(pattern).findall
         if newer:
             pattern = "(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])").replace(r"\p{L}+", rf"[\p{{L}}--[{newer}]]+").replace(r"\p{N}+", rf"[\p{{N}}--[{newer}]]+")
-        self.split = regex.compile(pattern).findall
+        self.split_any = regex.compile(pattern).findall
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(pieces))
-        self.cache: dict[str, list[int]] = {}
+        self.decimals = [str(i) for i in range(len(pieces))]
+        self.packed = Memory(lambda raw: array("i", self.pre_token(raw)).tobytes())
+        self.told = Memory(self.in_words)
 
     @classmethod
     def of(cls, pieces: list[bytes], pattern: str, newer: str) -> "Codec":
@@ -121,22 +150,30 @@ class Codec:
             cls._held[key] = cls(pieces, pattern, newer)
         return cls._held[key]
 
+    def split(self, text: str) -> list[str]:
+        return (self.split_ascii if text.isascii() else self.split_any)(text)
+
+    def pre_token(self, raw: bytes) -> list[int]:
+        """A piece of the vocabulary is one id, whether merges reach it or not."""
+        own = self.ids.get(raw)
+        return self.model.encode(mapped(raw)) if own is None else [own]
+
+    def in_words(self, raw: bytes) -> tuple[str, bytes]:
+        """The ids of a pre-token as decimals joined by commas, and decoded again."""
+        ids = self.pre_token(raw)
+        return ",".join([self.decimals[i] for i in ids]), self.decode(ids)
+
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as int32 in a row."""
+        return b"".join(self.packed.of(self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        tokens = (self.split_ascii if text.isascii() else self.split)(text)
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        known, cache = self.cache, self.cache
-        if new := [t for t in set(tokens) if t not in known]:
-            raw = [t.encode() for t in new]
-            found = [[self.ids[r]] if r in self.ids else None for r in raw]  # a piece of the vocabulary is one id, whether merges reach it or not
-            rest = [i for i, ids in enumerate(found) if ids is None]
-            for i, ids in zip(rest, self.model.encode([mapped(raw[i]) for i in rest], num_threads=1) if rest else ()):
-                found[i] = ids
-            here = dict(zip(new, found))
-            known.update((t, here[t]) for t, r in zip(new, raw) if len(r) <= CACHE_BYTES)
-            if any(len(r) > CACHE_BYTES for r in raw):
-                cache = {t: here[t] if t in here else known[t] for t in set(tokens)}
-        return list(chain.from_iterable(map(cache.__getitem__, tokens)))
+        return array("i", self.encode_packed(text)).tolist()
+
+    def encode_told(self, text: str) -> tuple[str, bytes]:
+        """The ids of a text as decimals joined by commas, and decoded again."""
+        parts = self.told.of(self.split(text))
+        return ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -162,21 +199,24 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         import numpy as np
 
-        codec, decimals = Codec.of(pieces, pattern, newer), [str(i) for i in range(len(pieces))]
+        codec = Codec.of(pieces, pattern, newer)
         for batch in common.pieces(batches):
             counts, found, hashes, decoded = [], [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                got = codec.encode((text or b"").decode("utf-8", "replace"))
-                counts.append(len(got))
+                text = (text or b"").decode("utf-8", "replace")
                 if ids:
-                    found.append(np.array(got, np.int32))
+                    found.append(codec.encode_packed(text))
+                    counts.append(len(found[-1]) // 4)
                 if digests:
-                    hashes.append(hashlib.sha256(",".join(map(decimals.__getitem__, got)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(codec.decode(got)).hexdigest())
+                    numbers, again = codec.encode_told(text)
+                    hashes.append(hashlib.sha256(numbers.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(again).hexdigest())
+                    if not ids:
+                        counts.append(numbers.count(",") + 1 if numbers else 0)
             columns = [batch.column(1), pa.array(counts, pa.int64())]
             if ids:
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)]))))
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32))))
             columns += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())] * digests if digests else []
             columns += [batch.column(i) for i in range(2, batch.num_columns)]
             names = [id_col, "n_tokens", *["token_ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests, *others]
