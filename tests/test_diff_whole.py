@@ -12,4 +12,4 @@ def test_whole_messages(spark):
     old, new = {m for early, m in rows if early}, {m for early, m in rows if not early}
     assert old and new
     for name, want in (("added", new - old), ("removed", old - new), ("common", old & new)):
-        assert {r["line"] for r in queries.QUERIES[f"q_diff_whole_{name}"](spark, SF).collect()} == want
+        assert {r["line"] for r in queries.QUERIES[f"q_diff_{name}"](spark, SF).collect()} == want

@@ -14,6 +14,8 @@ from timberline.sources import sinks
 from timberline.sources.lines import event_lines, parsed
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
+#: Level and event type of a line.
+KIND = r"^\S+ \S+ (\S+ \S+)"
 #: Where the whole log is cut in two.
 MIDDLE = "2024-01-16 00:00:00"
 
@@ -59,10 +61,6 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(orders.select(F.col("o_orderkey").alias("ord"), F.lit("orders").alias("source"), line.alias("line")))
 
 
-def day(spark: SparkSession, sf_dir: str, date: str) -> DataFrame:
-    return slicing.slice_lines(timed(spark, sf_dir), f"{date} 00:00:00", f"{date} 23:59:59").select(F.substring("line", 21, 22).alias("line"))
-
-
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff of the whole log before and from MIDDLE, by whole messages."""
     lines, early = timed(spark, sf_dir), F.col("timestamp") < F.lit(MIDDLE).cast("timestamp_ntz")
@@ -120,18 +118,15 @@ QUERIES = {
     "q_summary_top": lambda s, d: agg.summary_top(timed(s, d), 10),
     "q_threshold_alert": lambda s, d: agg.alerts(log(s, d), THRESHOLDS),
     "q_context": lambda s, d: order.context(log(s, d), F.col("line").contains("ERROR"), 2, 1).select("line_number", "matched_line", joined("before"), joined("after")),
-    "q_dedup": lambda s, d: order.dedup(timed(s, d), 300, F.substring("line", 21, 5)).select("key", "raw", "count", "first_seen", "last_seen", "first_ord"),
+    "q_dedup": lambda s, d: order.dedup(timed(s, d), 300, F.regexp_extract("line", KIND, 1)).select("key", "raw", "count", "first_seen", "last_seen", "first_ord"),
     "q_dedup_message": lambda s, d: order.dedup(timed(s, d), 86_400).select("key", "raw", "count", "first_seen", "last_seen", "first_ord"),
     "q_sessions_global": lambda s, d: order.sessions(timed(s, d), 600),
     "q_sessions_by_user": lambda s, d: order.sessions(timed(s, d).withColumn("user", F.regexp_extract("line", r"user=(\d+)", 1)), 6 * 3600, ["user"]),
     "q_sample": lambda s, d: order.sample(slicing.slice_lines(timed(s, d), START, END), 97).select("ord", "idx", "step", "is_exact"),
     "q_merge": lambda s, d: agg.merge(timed(s, d), order_lines(s, d)),
-    "q_diff_added": lambda s, d: agg.diff(day(s, d, "2024-01-03"), day(s, d, "2024-01-04")).where("section = 'added'").select("line"),
-    "q_diff_removed": lambda s, d: agg.diff(day(s, d, "2024-01-03"), day(s, d, "2024-01-04")).where("section = 'removed'").select("line"),
-    "q_diff_common": lambda s, d: agg.diff(day(s, d, "2024-01-03"), day(s, d, "2024-01-04")).where("section = 'common'").select("line"),
-    "q_diff_whole_added": lambda s, d: halves(s, d).where("section = 'added'").select("line"),
-    "q_diff_whole_removed": lambda s, d: halves(s, d).where("section = 'removed'").select("line"),
-    "q_diff_whole_common": lambda s, d: halves(s, d).where("section = 'common'").select("line"),
+    "q_diff_added": lambda s, d: halves(s, d).where("section = 'added'").select("line"),
+    "q_diff_removed": lambda s, d: halves(s, d).where("section = 'removed'").select("line"),
+    "q_diff_common": lambda s, d: halves(s, d).where("section = 'common'").select("line"),
     "q_multi_profile": lambda s, d: agg.profile_stats(s, mixed(s, d), PROFILES),
     "q_format_json": lambda s, d: sinks.json_lines(timed(s, d)).withColumn("timestamp", F.get_json_object("value", "$.timestamp")).select("timestamp", F.get_json_object("value", "$.line").alias("line")),
     "q_format_csv": lambda s, d: sinks.csv_lines(timed(s, d)).select("value"),
@@ -162,10 +157,6 @@ def _rate(n: int) -> str:
     return f"{EVENTS}, b AS (SELECT date_trunc('minute', t) + to_seconds(CAST(floor(second(t) / {n}) * {n} AS BIGINT)) AS window_start FROM ev) SELECT window_start, window_start + INTERVAL {n} SECOND AS window_end, count(*) AS count FROM b GROUP BY 1"
 
 
-def _diff(op: str, a: str, b: str) -> str:
-    return f"{EVENTS} SELECT trim(substr(line, 21, 22)) AS line FROM ev WHERE CAST(t AS DATE) = DATE '{a}' {op} SELECT trim(substr(line, 21, 22)) FROM ev WHERE CAST(t AS DATE) = DATE '{b}'"
-
-
 def _halves(op: str, a: str, b: str) -> str:
     return f"{EVENTS} SELECT trim(substr(line, 21)) AS line FROM ev WHERE t {a} TIMESTAMP '{MIDDLE}' {op} SELECT trim(substr(line, 21)) FROM ev WHERE t {b} TIMESTAMP '{MIDDLE}'"
 
@@ -216,18 +207,15 @@ ORACLES: dict[str, str] = {
     "q_summary_top": f"{EVENTS}, c AS (SELECT substr(trim(substr(line, 21)), 1, 80) AS message, count(*) AS count, min(ord) AS first_ord FROM ev GROUP BY 1) SELECT message, count, first_ord, CAST(row_number() OVER (ORDER BY count DESC, first_ord) AS INT) AS place FROM c ORDER BY count DESC, first_ord LIMIT 10",
     "q_threshold_alert": f"{EVENTS}, r(rule_name, pattern, threshold) AS (VALUES ('errors', 'ERROR', 100::BIGINT), ('user 7', 'user=7 ', 1000000::BIGINT), ('none', 'nothing like it', 1::BIGINT)) SELECT rule_name, threshold, count(line) AS matched_count, count(line) >= threshold AS triggered FROM r LEFT JOIN ev ON contains(line, pattern) GROUP BY rule_name, threshold",
     "q_context": f"{EVENTS}, w AS (SELECT row_number() OVER (ORDER BY ord) AS line_number, line, lag(line, 2) OVER (ORDER BY ord) AS b2, lag(line) OVER (ORDER BY ord) AS b1, lead(line) OVER (ORDER BY ord) AS a1 FROM ev) SELECT line_number, line AS matched_line, concat_ws('|', b2, b1) AS before, coalesce(a1, '') AS after FROM w WHERE contains(line, 'ERROR')",
-    "q_dedup": _dedup("substr(line, 21, 5)", 300),
+    "q_dedup": _dedup(f"regexp_extract(line, '{KIND}', 1)", 300),
     "q_dedup_message": _dedup("trim(substr(line, 20))", 86_400),
     "q_sessions_global": _sessions(600, ""),
     "q_sessions_by_user": _sessions(21600, "CAST(user_id AS VARCHAR)"),
     "q_sample": f"{EVENTS}, p AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS pos, count(*) OVER () AS total FROM ev WHERE {INSIDE}) SELECT ord, pos // step AS idx, step, total <= CAST(ceil(total / step) AS BIGINT) AS is_exact FROM (SELECT *, CAST(greatest(1, ceil(total / 97)) AS BIGINT) AS step FROM p) WHERE pos % step = 0",
     "q_merge": f"{EVENTS} SELECT 0 AS file_idx, ord, 'events' AS source, t AS timestamp, line FROM ev UNION ALL SELECT 1, o_orderkey, 'orders', CAST(date_trunc('second', o_orderdate) AS TIMESTAMP), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' INFO order=' || o_orderkey || ' status=' || o_orderstatus FROM orders",
-    "q_diff_added": _diff("EXCEPT", "2024-01-04", "2024-01-03"),
-    "q_diff_removed": _diff("EXCEPT", "2024-01-03", "2024-01-04"),
-    "q_diff_common": _diff("INTERSECT", "2024-01-03", "2024-01-04"),
-    "q_diff_whole_added": _halves("EXCEPT", ">=", "<"),
-    "q_diff_whole_removed": _halves("EXCEPT", "<", ">="),
-    "q_diff_whole_common": _halves("INTERSECT", "<", ">="),
+    "q_diff_added": _halves("EXCEPT", ">=", "<"),
+    "q_diff_removed": _halves("EXCEPT", "<", ">="),
+    "q_diff_common": _halves("INTERSECT", "<", ">="),
     "q_multi_profile": f"{MIXED} {_profile}",
     "q_format_json": f"{EVENTS} SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') AS timestamp, line FROM ev",
     "q_format_csv": f"""{EVENTS} SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') || ',' || '"' || replace(line, '"', '""') || '"' AS value FROM ev""",
