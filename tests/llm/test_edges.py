@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from timberline.llm import bpe, common, embeddings, html, language, mixing, secrets, simhash, substrings, topk, urls
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, id long"
+#: The first five are those of documents; the others have names that operators might use.
+CLASHES = "score fp id _id _row _n _size _copies _target _lang _score row node component rank size copies copy hash src class digits before n_tokens token_ids spans lang_pred k1 k2 uid"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHES.split())
 SHARED = " ".join(f"w{i}" for i in range(50))
 TEXTS = [None, "", "   ", "one", "Two words here now", "Two words here now", "x " + SHARED + " y", "z " + SHARED, SHARED[:-1], "a " * 200, "long " * 30_000, "password = hunter22x é", "!!! 123", "the cat sat on the mat and it was good" * 3]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i if i != 3 else None, t, "en" if i % 3 else None, "s" if i % 4 else None, 1, 0.5, 2, 3) for i, t in enumerate(TEXTS)]
+    rows = [(i if i != 3 else None, t, "en" if i % 3 else None, "s" if i % 4 else None, 1, *range(100, 100 + len(CLASHES.split()))) for i, t in enumerate(TEXTS)]
     return spark.createDataFrame([*rows, rows[7], rows[7]], SCHEMA).repartition(3)
 
 
@@ -33,7 +35,9 @@ def test_all_on_empty_and_odd_rows(spark, docs):
         model = language.fit(table)
         assert language.predict(table, model, added=("_l", "_s")).where("text is null or text = '!!! 123'").where("_l <> 'und'").count() == 0
         for name, stage in corpus_pipeline.STAGES[:4]:
-            assert stage(spark, table, "").columns == table.columns, name
+            out = stage(spark, table, "")
+            assert out.columns == table.columns, name
+            assert all(r[c] == 100 + i for r in out.collect() for i, c in enumerate(CLASHES.split())), name
             assert stage(spark, table, "").count() <= 2 * n
         assert "token_ids" in corpus_pipeline.tokens(spark, table, "").columns
 
