@@ -2,7 +2,8 @@
 
 In each pass the vectors of a label are ordered by the concatenated signs of random projections, and each is
 compared with the WINDOW vectors after it. The number of passes follows from the size of the label, so that a pair
-at the least similarity is met with probability RECALL if signs halve the label; one pass meets all pairs of a label that fits the window. A pair is counted in the first pass that meets it (the places in all passes
+at the least similarity is met with probability RECALL, and from how evenly signs part it (where vectors share a direction, they
+don't halve it); one pass meets all pairs of a label that fits the window. A pair is counted in the first pass that meets it (the places in all passes
 travel with the vector), and a block gives its components as edges to one member: pairs are never emitted.
 Vectors whose window is full of links are compared with all such vectors of their label, in pairs of blocks,
 so that groups larger than the window lose nothing.
@@ -19,13 +20,15 @@ from timberline.llm.common import components, local_roots, pieces, written
 from timberline.llm.vectors import by_dimension
 
 LEAST, WINDOW, BLOCK_ROWS, DENSE_BLOCK, BITS, RECALL, SEED = 0.93, 1024, 4096, 4096, 48, 0.999, 3
-#: Of a label that is larger than the window.
-FEWEST_PASSES = 4
+#: Of a label that is larger than the window. Signs by which its evenness is measured, over all its vectors.
+FEWEST_PASSES, PROBES = 4, 16
 
 
-def passes(size: Column, least: float = LEAST) -> Column:
-    """With n vectors, a window is reached by those that share log2(n / window) signs; a sign is shared with probability 1 - angle / pi."""
-    shared = F.pow(F.lit(1 - math.acos(least) / math.pi), F.log2(size / WINDOW))
+def passes(size: Column, alike: Column, least: float = LEAST) -> Column:
+    """With n vectors, of which two have a sign in common with probability `alike`, a window is reached by those that share the first
+    log(n / window) / -log(alike) signs; a pair at the least similarity shares a sign with probability 1 - angle / pi."""
+    signs = F.log(size / WINDOW) / -F.log(F.least(alike, F.lit(0.95)))
+    shared = F.pow(F.lit(1 - math.acos(least) / math.pi), signs)
     needed = F.ceil(F.lit(math.log(1 - RECALL)) / F.log(1 - shared))
     return F.when(size <= WINDOW + 1, 1).otherwise(F.greatest(F.lit(FEWEST_PASSES), needed)).cast("int")
 
@@ -44,7 +47,22 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
     every = every.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     distinct = written(every.where(usable).groupBy("label", "h1", "h2", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()))
-    turns = written(distinct.groupBy("label").count().select("label", passes(F.col("count"), least).alias("turns")))  # a row a label
+    label_type = distinct.schema["label"].dataType.simpleString()
+
+    def probe(batches):
+        import numpy as np
+
+        for batch in pieces(batches):
+            bits = np.zeros(len(batch), np.int32)
+            for at, matrix in by_dimension(batch.column(1)):
+                planes = np.random.default_rng([SEED, PROBES, matrix.shape[1]]).standard_normal((matrix.shape[1], PROBES))
+                bits[at] = (matrix / np.abs(matrix).max(axis=1, keepdims=True) @ planes > 0) @ (1 << np.arange(PROBES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32())], ["label", "bits"])
+
+    shares = [F.avg(F.shiftright("bits", i).bitwiseAND(1)) for i in range(PROBES)]
+    alike = sum((p * p + (1 - p) * (1 - p) for p in shares), F.lit(0.0)) / PROBES
+    sizes = distinct.select("label", "v").mapInArrow(probe, f"label {label_type}, bits int").groupBy("label").agg(F.count("*").alias("n"), alike.alias("alike"))
+    turns = written(sizes.select("label", passes(F.col("n"), F.col("alike"), least).alias("turns")))  # a row a label
     rounds = turns.agg(F.max("turns")).first()[0] or 1
 
     def keys(batches):
@@ -62,7 +80,6 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
             offsets = np.arange(0, out.size + 1, rounds, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1))), batch.column(2), batch.column(3)], ["uid", "keys", "label", "dim"])
 
-    label_type = distinct.schema["label"].dataType.simpleString()
     hashed = distinct.select("uid", "v", "label", F.size("v").alias("dim")).mapInArrow(keys, f"uid long, keys array<long>, label {label_type}, dim int")
     # places in each pass: one range sort of all passes; a row's number within its partition plus the partitions before
     ordered = hashed.join(turns, "label").select("uid", "label", "dim", F.posexplode(F.slice("keys", F.lit(1), F.col("turns"))).alias("pass", "key")).repartitionByRange("pass", "label", "dim", "key", "uid").sortWithinPartitions("pass", "label", "dim", "key", "uid")
