@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import pieces, written
 
-LENGTH, ANCHOR = 35, 16
+LENGTH, ANCHOR = 35, 12
 #: Different segments of one anchor held together at most; larger groups are dealt to pairs of blocks.
 BLOCK_SEGMENTS = 8_192
 #: Anchors with more than a HOTth of the rows are dealt with apart.
