@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Bytes of Arrow data that a Python worker handles at once; a single longer row is handled alone. Spark itself ends a batch at
 #: spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so the session's settings need no change.
 PIECE_BYTES = 4 << 20
+#: Rows of a table of large keys that is broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def pieces(batches, most: int = PIECE_BYTES) -> Iterator:
@@ -98,8 +100,16 @@ def block_pairs(df: DataFrame, keys: list[str], row_id: Column, block_rows: int,
     key meet in at least one pair, no pair holds much more than 2 * block_rows rows, and nothing is dropped.
     """
     size = F.count("*") / block_rows if weight is None else F.greatest(F.count("*") / block_rows, F.sum(weight) / block_weight)
-    large = df.groupBy(*keys).agg(F.ceil(size).cast("int").alias("_k")).where("_k > 1")
-    dealt = df.join(large, keys, "left").withColumn("_s", F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64(row_id, F.lit(7)), F.col("_k")).cast("int")))
+    return in_pairs(df, keys, row_id, df.groupBy(*keys).agg(F.ceil(size).cast("int").alias("_k")))
+
+
+def in_pairs(df: DataFrame, keys: list[str], row_id: Column, blocks: DataFrame) -> DataFrame:
+    """block_pairs with the number of blocks of each key given: blocks (keys, _k int). Without a key of several, df isn't shuffled."""
+    large = written(blocks.where("_k > 1"))
+    n = large.count()
+    if not n:
+        return df.withColumn("pair", F.lit(0).cast("long"))
+    dealt = df.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, keys, "left").withColumn("_s", F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64(row_id, F.lit(7)), F.col("_k")).cast("int")))
     low, high = (lambda t: F.least("_s", t)), (lambda t: F.greatest("_s", t))
     pairs = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda t: low(t).cast("long") * F.col("_k") + high(t) + 1)

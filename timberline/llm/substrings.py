@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import pieces, written
+from timberline.llm.common import in_pairs, pieces, written
 
 LENGTH, ANCHOR = 35, 12
 #: Different segments of one anchor held together at most; larger groups are dealt to pairs of blocks.
@@ -325,12 +325,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 def shards(segments: DataFrame, bodies: DataFrame) -> DataFrame:
     """Segments dealt by anchor; one with too many different segments is dealt to pairs of blocks, in which any two of
     its segments meet. The sizes come from the narrow table of bodies."""
-    large = bodies.groupBy("anchor").count().where(F.col("count") > BLOCK_SEGMENTS).select("anchor", F.ceil(F.col("count") / BLOCK_SEGMENTS).cast("int").alias("_k"))
-    dealt = segments.join(large, "anchor", "left").withColumn("_s", F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64("content"), F.col("_k")).cast("int")))
-    pairs = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda t: F.least("_s", t).cast("long") * F.col("_k") + F.greatest("_s", t) + 1)
-    )
-    return dealt.withColumn("pair", F.explode(pairs)).drop("_k", "_s").repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
+    blocks = bodies.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_SEGMENTS).cast("int").alias("_k"))
+    return in_pairs(segments, ["anchor"], F.col("content"), blocks).repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
