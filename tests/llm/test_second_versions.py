@@ -127,6 +127,19 @@ def test_recall_beyond_the_window(spark, monkeypatch, spread, cone):
     assert np.mean([got[i]["component_id"] == root[i] for i in range(len(vectors))]) > 0.99
 
 
+def test_signs_of_links_differ_in_few():
+    """20,000 pairs at the least similarity: none is beyond the radius; of unrelated vectors nearly all are."""
+    rng = np.random.default_rng(11)
+    planes = rng.standard_normal((32, embeddings.FEWEST_PASSES * embeddings.BITS))
+    x, y = rng.standard_normal((2, 20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    z = embeddings.LEAST * x + np.sqrt(1 - embeddings.LEAST**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    differ = lambda a, b: ((a @ planes > 0) != (b @ planes > 0)).sum(1)
+    radius = embeddings.farthest(embeddings.LEAST)
+    assert differ(x, z).max() <= radius and (differ(x, y) <= radius).mean() < 0.01
+
+
 def test_built_first_and_run_last(spark):
     """An operator's batches don't depend on what was built after it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

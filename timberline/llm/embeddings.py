@@ -5,6 +5,8 @@ compared with the WINDOW vectors after it. The number of passes follows from the
 at the least similarity is met with probability RECALL, and from how evenly signs part it (where vectors share a direction, they
 don't halve it); one pass meets all pairs of a label that fits the window. A pair is counted in the first pass that meets it (the places in all passes
 travel with the vector), and a block gives its components as edges to one member: pairs are never emitted.
+In a label of several passes the signs of the first FEWEST_PASSES passes, some bytes a vector, go through each pass ahead of the vectors: only
+vectors with a neighbour within the window whose signs let it be a link take part in that pass as a whole.
 Vectors whose window is full of links are compared with all such vectors of their label, in pairs of blocks,
 so that groups larger than the window lose nothing.
 """
@@ -33,6 +35,12 @@ def passes(size: Column, alike: Column, least: float = LEAST) -> Column:
     return F.when(size <= WINDOW + 1, 1).otherwise(F.greatest(F.lit(FEWEST_PASSES), needed)).cast("int")
 
 
+def farthest(least: float) -> int:
+    """Signs of FEWEST_PASSES passes in which a pair at `least` differs at most: seven standard deviations above the mean."""
+    bits, part = FEWEST_PASSES * BITS, math.acos(least) / math.pi
+    return math.ceil(bits * part + 7 * math.sqrt(bits * part * (1 - part)))
+
+
 def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row.
 
@@ -82,16 +90,14 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
 
     hashed = distinct.select("uid", "v", "label", F.size("v").alias("dim")).mapInArrow(keys, f"uid long, keys array<long>, label {label_type}, dim int")
     # places in each pass: one range sort of all passes; a row's number within its partition plus the partitions before
-    ordered = hashed.join(turns, "label").select("uid", "label", "dim", F.posexplode(F.slice("keys", F.lit(1), F.col("turns"))).alias("pass", "key")).repartitionByRange("pass", "label", "dim", "key", "uid").sortWithinPartitions("pass", "label", "dim", "key", "uid")
-    numbered = written(ordered.select("uid", F.col("pass"), F.monotonically_increasing_id().alias("n")))
+    signs = [f"s{i}" for i in range(FEWEST_PASSES)]
+    ordered = hashed.join(turns, "label").select("uid", "label", "dim", "turns", *(F.when(F.col("turns") > 1, F.get("keys", F.lit(i))).alias(s) for i, s in enumerate(signs)), F.posexplode(F.slice("keys", F.lit(1), F.col("turns"))).alias("pass", "key")).repartitionByRange("pass", "label", "dim", "key", "uid").sortWithinPartitions("pass", "label", "dim", "key", "uid")
+    numbered = written(ordered.select("uid", "pass", "turns", *signs, F.monotonically_increasing_id().alias("n")))
     begins, total = {}, 0
     for part, count in sorted(map(tuple, numbered.groupBy(F.shiftright("n", 33).alias("part")).count().collect())):  # a row for each partition
         begins[part], total = total, total + count
     begin = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]) if begins else F.create_map(F.lit(0), F.lit(0))
-    placed = numbered.select("uid", "pass", (F.element_at(begin, F.shiftright("n", 33).cast("int")) + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
-    places = placed.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda x: x["place"]).alias("places"))
-    ready = written(distinct.select("uid", "label", "v", "copies").join(places, "uid"))
-
+    placed = numbered.select("uid", "pass", "turns", *signs, (F.element_at(begin, F.shiftright("n", 33).cast("int")) + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
     met = lambda pa_, pb: (abs(pa_ - pb) <= WINDOW)
 
     def linked(uid, label, matrix, copies, place, owned, turn):
@@ -136,6 +142,34 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
         if held:
             yield name, pa.Table.from_batches(held).combine_chunks()
 
+    def in_blocks(rows):
+        """Rows with their block of places; those that the block before can reach, with that one too."""
+        block = F.floor(F.col("place") / BLOCK_ROWS)
+        again = (F.col("place") % BLOCK_ROWS < WINDOW) & (block > 0)
+        return rows.withColumn("block", F.explode(F.when(again, F.array(block - 1, block)).otherwise(F.array(block)))).repartition("pass", "block").sortWithinPartitions("pass", "block", "place")
+
+    def near_by_signs(batches):
+        import numpy as np
+
+        for (turn, _), table in groups(batches, 2):
+            uid, place = (table.column(c).to_numpy() for c in ("uid", "place"))
+            own = np.stack([table.column(s).to_numpy() for s in signs])
+            near = np.zeros(len(uid), bool)
+            for at in range(0, len(uid), 256):
+                end, upto = min(len(uid), at + 256), min(len(uid), at + 256 + WINDOW)
+                differ = sum(np.bitwise_count(k[at:end, None] ^ k[None, at:upto]) for k in own)
+                i, j = np.nonzero(differ <= radius)
+                good = (j > i) & (place[j + at] - place[i + at] <= WINDOW)
+                near[i[good] + at] = near[j[good] + at] = True
+            yield pa.RecordBatch.from_arrays([pa.array(uid[near]), pa.array(np.full(near.sum(), turn, np.int32))], ["uid", "pass"])
+
+    radius = farthest(least)
+    near = in_blocks(placed.where("turns > 1").drop("turns")).select("pass", "block", "uid", "place", *signs).mapInArrow(near_by_signs, "uid long, pass int")
+    near = near.groupBy("uid").agg(F.collect_set("pass").alias("near"))
+    places = placed.groupBy("uid").agg(F.max("turns").alias("turns"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda x: x["place"]).alias("places"))
+    places = places.join(near, "uid", "left").where("turns = 1 or near is not null")
+    ready = written(distinct.select("uid", "label", "v", "copies").join(places, "uid"))
+
     def matrices(table, names):
         import numpy as np
 
@@ -161,10 +195,8 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, id_col: str = "vec_id
                 low = block * BLOCK_ROWS
                 yield result(uid, *linked(uid, label, matrix, copies, place, lambda i, j: place[i, turn] < low + BLOCK_ROWS, turn))
 
-    blocks = ready.select("*", F.posexplode("places").alias("pass", "place")).withColumn("block", F.floor(F.col("place") / BLOCK_ROWS)).withColumn(
-        "block", F.explode(F.when((F.col("place") % BLOCK_ROWS < WINDOW) & (F.col("block") > 0), F.array(F.col("block") - 1, "block")).otherwise(F.array("block")))
-    )
-    dealt = blocks.repartition("pass", "block").sortWithinPartitions("pass", "block", "place").select("pass", "block", "uid", "label", "v", "copies", "places")
+    taking_part = ready.select("*", F.posexplode("places").alias("pass", "place")).where((F.col("turns") == 1) | F.array_contains("near", F.col("pass")))
+    dealt = in_blocks(taking_part).select("pass", "block", "uid", "label", "v", "copies", "places")
     out = "uid long, links long, dense boolean, root long"
     first = written(dealt.mapInArrow(window_pass, out))
 
