@@ -103,7 +103,7 @@ def tail(spark: SparkSession, path: str, start=None, end=None, from_start: bool
 
 
 def stop_when_idle(query: StreamingQuery, max_idle: float | None) -> threading.Thread:
-    """Stops the query after max_idle seconds without a new row; None: never."""
+    """Stops the query after max_idle seconds without a new row; None: never. Starting up and working on rows is not idle."""
 
     def watch():
         last = time.time()
@@ -112,6 +112,9 @@ def stop_when_idle(query: StreamingQuery, max_idle: float | None) -> threading.T
             p = query.lastProgress
             if p and p["batchId"] != seen and p["numInputRows"]:
                 seen, last = p["batchId"], time.time()
+            status = query.status
+            if status["isDataAvailable"] or status["message"].startswith("Initializing"):
+                last = time.time()
             if time.time() - last > max_idle:
                 query.stop()
             time.sleep(min(0.2, max_idle / 4))
