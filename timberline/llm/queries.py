@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import bpe, embeddings, html, language, mixing, secrets, simhash, substrings, topk, urls
+from timberline.llm import bpe, embeddings, html, language, mining, mixing, secrets, simhash, substrings, topk, urls
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.query,
     "op9_substrings": substrings.query,
     "op10_language": language.query,
+    "op11_negatives": mining.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op7_secrets": secrets.ORACLE,
     "op8_topk": topk.ORACLE,
     "op9_substrings": substrings.ORACLE,
+    "op11_negatives": mining.ORACLE,
 }
