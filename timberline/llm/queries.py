@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import bpe, embeddings, html, language, mining, mixing, secrets, simhash, substrings, topk, urls
+from timberline.llm import bpe, embeddings, html, language, mining, mixing, secrets, simhash, substrings, topk, urls, wordbpe
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substrings": substrings.query,
     "op10_language": language.query,
     "op11_negatives": mining.query,
+    "op12_word_bpe": wordbpe.query,
 }
 
 ORACLES: dict[str, str] = {
