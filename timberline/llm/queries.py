@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import bpe, embeddings, html, language, mining, mixing, secrets, simhash, substrings, topk, urls, wordbpe
+from timberline.llm import bpe, codes, embeddings, html, language, mining, mixing, secrets, simhash, substrings, topk, urls, wordbpe
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language": language.query,
     "op11_negatives": mining.query,
     "op12_word_bpe": wordbpe.query,
+    "op13_codes": codes.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op8_topk": topk.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op11_negatives": mining.ORACLE,
+    "op13_codes": codes.ORACLE,
 }
