@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions.regexes import extracted, found
 from timberline.functions.text import iso
+from timberline.functions.timestamps import strptime_format, timestamp
 from timberline.operators import aggregates as agg
 from timberline.operators import order, rules, slicing
 from timberline.sources import sinks
@@ -86,6 +88,32 @@ def fields(s, d):
     return f.select("ord", F.col("fields")["user"].alias("user"), F.col("fields")["k"].alias("k"), F.col("fields")["bad"].alias("bad"))
 
 
+# Patterns in Python's dialect; what Java or RE2 would read otherwise, or not at all.
+DIALECT = {
+    "again": r"user=\d*(\d)\1", "either": r"(ERROR )?(?(1)error|view) ", "brackets": r"[[{]|[a&&b]&", "few": r"user=\d{,2} ", "ends": r"[}.]$", "ahead": r"(?<=user=)\d+(?= props)",
+    "local": r"(?i:PURCHASE) (?-i:user)", "named": r"(?P<first>[a-z])(?P=first)", "never": r"(?>user=\d+)\d", "word": r"\b[^\W\d_]+\b",
+}
+SECOND_DIGIT = r"user=(\d)(\d)?(\d)?"
+
+
+def dialect(s, d):
+    line = F.col("line")
+    return mixed(s, d).select("ord", *[found(line, p).alias(n) for n, p in DIALECT.items()], *[extracted(line, SECOND_DIGIT, i).alias(f"digit{i}") for i in (1, 2, 3)], extracted(line, DIALECT["ahead"], 0).alias("user"))
+
+
+# Strptime layouts of the lines below.
+LAYOUTS = ("%A, %d %B %Y %I:%M %p", "UTC %y%m%d %H:%M:%S.%f", "%j of %Y")
+
+
+def custom_formats(s, d):
+    """Orders as lines in three layouts, by turns, and the time that is read from each."""
+    orders, key = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate"), F.col("o_orderkey")
+    at = F.timestamp_add("SECOND", (key % 86_400).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
+    text = F.when(key % 3 == 0, F.date_format(at, "EEEE, d MMMM yyyy hh:mm a")).when(key % 3 == 1, F.concat(F.lit("UTC "), F.date_format(at, "yyMMdd H:m:s"), F.lit("."), F.lpad((key % 1000).cast("string"), 3, "0"))).otherwise(F.date_format(at, "D 'of' yyyy"))
+    lines = orders.select(key.alias("ord"), F.concat(F.lit("<"), text, F.lit("> order="), key.cast("string")).alias("line"))
+    return lines.select("ord", timestamp(F.col("line"), tuple(strptime_format(f) for f in LAYOUTS)).alias("timestamp"))
+
+
 CHAIN = [rules.FormatterStep("strip", lambda c: F.trim(c)), rules.FormatterStep("upper", lambda c: F.upper(c)), rules.FormatterStep("no_debug", lambda c: F.when(~c.contains("DEBUG"), c))]
 
 QUERIES = {
@@ -130,6 +158,8 @@ QUERIES = {
     "q_multi_profile": lambda s, d: agg.profile_stats(s, mixed(s, d), PROFILES),
     "q_format_json": lambda s, d: sinks.json_lines(timed(s, d)).withColumn("timestamp", F.get_json_object("value", "$.timestamp")).select("timestamp", F.get_json_object("value", "$.line").alias("line")),
     "q_format_csv": lambda s, d: sinks.csv_lines(timed(s, d)).select("value"),
+    "q_regex_dialect": dialect,
+    "q_custom_formats": custom_formats,
 }
 
 EVENTS = """WITH ev AS (SELECT event_id AS ord, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END
@@ -219,4 +249,10 @@ ORACLES: dict[str, str] = {
     "q_multi_profile": f"{MIXED} {_profile}",
     "q_format_json": f"{EVENTS} SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') AS timestamp, line FROM ev",
     "q_format_csv": f"""{EVENTS} SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') || ',' || '"' || replace(line, '"', '""') || '"' AS value FROM ev""",
+    "q_regex_dialect": MIXED + r""" SELECT ord, regexp_matches(line, 'user=\d*(00|11|22|33|44|55|66|77|88|99)') AS again, contains(line, 'ERROR error ') OR contains(line, 'view ')  AS either,
+ regexp_matches(line, '[\[{]|[ab&]&') AS brackets, regexp_matches(line, 'user=\d{0,2} ') AS few, regexp_matches(line, '[}.]\n?\z') AS ends, regexp_matches(line, 'user=\d+ props') AS ahead, regexp_matches(line, '(?i:PURCHASE) user') AS "local",
+ regexp_matches(line, 'aa|bb|cc|dd|ee|ff|gg|hh|ii|jj|kk|ll|mm|nn|oo|pp|qq|rr|ss|tt|uu|vv|ww|xx|yy|zz') AS named, false AS never, regexp_matches(line, '(^|[^\pL\pN_])\pL+([^\pL\pN_]|$)') AS word,
+ nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 1), '') AS digit1, nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 2), '') AS digit2, nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 3), '') AS digit3, nullif(regexp_extract(line, 'user=(\d+) props', 1), '') AS "user" FROM mixed""",
+    "q_custom_formats": """SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('minute', t) WHEN 1 THEN t + to_milliseconds(o_orderkey % 1000) ELSE date_trunc('day', t) END AS timestamp
+ FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS t FROM orders)""",
 }
