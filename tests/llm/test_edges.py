@@ -190,7 +190,10 @@ here</p><ul><li>a<li>b</ul><div class="ad">buy</div><form>f<input></form><!-- no
 
 
 def test_html(spark):
-    assert html.main_text(PAGE) == "Head & more\nOne\nTwo words here\na\nb"
+    named = {x.path + "*" * (not x.shielded) for kind, x in html.walk(html.parse(PAGE), html.Node.furniture) if kind == "open" and x.tip()}
+    assert len(named) == 4
+    assert html.main_text(PAGE, frozenset(named)) == "Head & more\nOne\nTwo words here\na\nb"  # as a tree would find them
+    assert html.main_text(PAGE) == "S\nN\nHead & more\nOne\nTwo words here\na\nb\nbuy\nme too"  # on a page of its own a name decides nothing
     assert html.main_text("<p>x" + "<div>" * 20_000 + "deep") == "x\ndeep"
     rows = [(i, "http://h/", f"<body><div class='box'>same every time</div><div class='body'>text {i}</div>") for i in range(12)] + [(50, None, None), (51, "u", ""), (51, "u", "")]
     out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -5,7 +5,6 @@ from timberline.llm import html
 
 def test_article_in_furniture_hides_no_story():
     assert html.main_text("<div id='story'><p>main text</p></div><aside><article>teaser</article></aside>") == "main text"
-    assert html.main_text("<div id='story'>main text</div><section class='comments'><article>me too</article></section>") == "main text"
     assert html.main_text("<div id='story'>main text</div><article>second</article>") == "main text\nsecond"
 
 
