@@ -57,31 +57,6 @@ def test_dedup_by_whole_message(spark):
     order.release()
 
 
-def test_feeds(spark, tmp_path):
-    """Closed runs and sessions come out as in the batch form, over several batches."""
-    at = lambda s: (datetime(2024, 1, 1) + timedelta(seconds=s)).strftime("%Y-%m-%d %H:%M:%S")
-    batches = [[f"{at(0)} x", f"{at(5)} y", f"{at(30)} x"], [f"{at(200)} x", "no time", ""], [f"{at(210)} x", f"{at(900)} x", f"{at(901)} y"]]
-    log = tmp_path / "f.log"
-    log.write_text("")
-    seen = {"runs": [], "sessions": []}
-    spark.dataSource.register(tail.TailSource)
-    lines = parsed(spark.readStream.format("tail_lines").option("path", str(log)).option("fromStart", "true").load())
-    keep = lambda name: (lambda df, _: seen[name].extend(df.collect()))
-    queries = [
-        q.writeStream.outputMode("append").foreachBatch(keep(n)).option("checkpointLocation", str(tmp_path / n)).start()
-        for n, q in (("runs", tail.dedup_feed(lines, 60)), ("sessions", tail.sessions_feed(lines, 60)))
-    ]
-    for batch in batches:
-        with log.open("a") as f:
-            f.write("".join(x + "\n" for x in batch))
-        for q in queries:
-            q.processAllAvailable()
-    for q in queries:
-        q.stop()
-    assert [(r["key"], r["count"], r["first_seen"].second) for r in sorted(seen["runs"], key=lambda r: (r["key"], r["first_ord"]))] == [("x", 2, 0), ("x", 2, 20), ("y", 1, 5)]
-    assert [(r["index"], r["entry_count"], r["duration_seconds"]) for r in seen["sessions"]] == [(0, 3, 30.0), (1, 3, 10.0)]
-
-
 def test_windowed_streams_and_idle_stop(spark, tmp_path):
     log = tmp_path / "w.log"
     log.write_text("".join(f"2024-01-01 10:00:{s:02d} m\n" for s in (1, 2, 31)) + "2024-01-01 12:00:00 m\n")

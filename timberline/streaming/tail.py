@@ -8,14 +8,10 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
-from timberline.errors import need
-from timberline.functions.text import blank
 from timberline.functions.timestamps import DEFAULT
-from timberline.operators.order import message_key
 from timberline.operators.slicing import slice_lines
 from timberline.sources.lines import parsed
 
@@ -131,7 +127,7 @@ def rate_stream(timed: DataFrame, bucket_seconds: int, late: str = "1 minute") -
 
 
 def sessions_stream(timed: DataFrame, gap_seconds: int, late: str = "1 minute") -> DataFrame:
-    """Sessions of each source by event time: lines without a timestamp go, late ones within the watermark still join. An extension of the batch form; see sessions_feed."""
+    """Sessions of each source by event time: lines without a timestamp go, late ones within the watermark still join. An extension of the batch form; see feeds.sessions_feed."""
     stamped = timed.withColumn("at", F.col("timestamp").cast("timestamp")).where(F.col("at").isNotNull()).withWatermark("at", late)
     return stamped.groupBy("source", F.session_window("at", f"{gap_seconds} seconds").alias("w")).agg(F.count("*").alias("entry_count"), F.min("at").alias("start"), F.max("at").alias("end")).drop("w")
 
@@ -140,85 +136,3 @@ def dedup_stream(timed: DataFrame, window_seconds: int, key, late: str = "1 minu
     """Runs of a message as sessions of its key: they close, and their state goes, when the watermark passes their window."""
     stamped = timed.withColumn("key", key).withColumn("at", F.col("timestamp").cast("timestamp")).where(F.col("at").isNotNull()).withWatermark("at", late)
     return stamped.groupBy("key", F.session_window("at", f"{window_seconds} seconds").alias("w")).agg(F.count("*").alias("count"), F.min_by("line", "at").alias("raw"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen")).drop("w")
-
-
-RUN = T.StructType().add("raw", "string").add("first_seen", "long").add("last_seen", "long").add("count", "long").add("first_ord", "long")
-CLOSED = "key string, raw string, count long, first_seen timestamp_ntz, last_seen timestamp_ntz, first_ord long"
-SESSION = T.StructType().add("index", "long").add("start", "long").add("end", "long").add("last", "long").add("entry_count", "long")
-SESSIONS = "source string, index long, entry_count long, start timestamp_ntz, end timestamp_ntz, duration_seconds double"
-
-
-def fed(lines: DataFrame, by: str, step, row, output: str, state: T.StructType, flush_after: float | None) -> DataFrame:
-    """Lines of a key, in their order within each batch and batch after batch, through step(state or None, line) -> (closed or None, state).
-
-    With flush_after, a key that got no line for so many seconds gives its state out and forgets it."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    names = [field.split()[0] for field in output.split(", ")]
-
-    def run(key, frames, held):
-        out = []
-        if held.hasTimedOut:
-            out.append(row(key[0], held.get))
-            held.remove()
-        else:
-            now = held.getOption
-            for line in pd.concat(list(frames)).sort_values("ord").itertuples(index=False):
-                closed, now = step(now, line)
-                if closed is not None:
-                    out.append(row(key[0], closed))
-            held.update(now)
-            if flush_after is not None:
-                held.setTimeoutDuration(max(1, int(flush_after * 1000)))
-        yield pd.DataFrame(out, columns=names)
-
-    timeout = GroupStateTimeout.NoTimeout if flush_after is None else GroupStateTimeout.ProcessingTimeTimeout
-    return lines.groupBy(by).applyInPandasWithState(run, output, state, "append", timeout)
-
-
-def _time(micros):
-    import pandas as pd
-
-    return pd.NaT if micros is None else pd.Timestamp(micros, unit="us")
-
-
-def dedup_feed(timed: DataFrame, window_seconds: float, key=None, formats=DEFAULT, flush_after: float | None = None) -> DataFrame:
-    """The batch dedup as a state machine over a stream: a repeat of a message within the window of its last one counts, any other line
-    closes the run before it, which comes out then. Blank messages go. Open runs come out after flush_after seconds without a line of their key."""
-    need(window_seconds > 0, "the window must be positive")
-    keyed = timed.withColumn("key", message_key(F.col("line"), formats) if key is None else key).where(~blank(F.col("key")))
-    lines = keyed.select("key", "ord", "line", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"))
-    most = int(window_seconds * 1_000_000)
-
-    def step(run, line):
-        import pandas as pd
-
-        at = None if pd.isna(line.at) else int(line.at)
-        if run is not None and at is not None and run[2] is not None and at - run[2] <= most:
-            return None, (run[0], run[1], at, run[3] + 1, run[4])
-        return run, (line.line, at, at, 1, int(line.ord))
-
-    return fed(lines, "key", step, lambda k, r: (k, r[0], r[3], _time(r[1]), _time(r[2]), r[4]), CLOSED, RUN, flush_after)
-
-
-def sessions_feed(timed: DataFrame, gap_seconds: float, flush_after: float | None = None) -> DataFrame:
-    """The batch sessions of each source over a stream: a line more than the gap after the last timestamp closes the session, which comes out then;
-    lines without a timestamp join it, blank ones go. The open one comes out after flush_after seconds without a line."""
-    need(gap_seconds > 0, "the gap must be positive")
-    lines = timed.where(~blank(F.col("line"))).select("source", "ord", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"))
-    gap = int(gap_seconds * 1_000_000)
-
-    def step(session, line):
-        import pandas as pd
-
-        at = None if pd.isna(line.at) else int(line.at)
-        if session is None:
-            return None, (0, at, at, at, 1)
-        index, start, end, last, count = session
-        if at is not None and last is not None and at - last > gap:
-            return session, (index + 1, at, at, at, 1)
-        return None, (index, at if start is None else start, end if at is None else at, last if at is None else at, count + 1)
-
-    took = lambda s: None if s[1] is None else (s[2] - s[1]) // 1_000_000 * 1.0
-    return fed(lines, "source", step, lambda k, s: (k, s[0], s[4], _time(s[1]), _time(s[2]), took(s)), SESSIONS, SESSION, flush_after)
