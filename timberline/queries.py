@@ -11,8 +11,8 @@ from timberline.functions.regexes import extracted, found
 from timberline.functions.text import iso
 from timberline.functions.timestamps import strptime_format, timestamp
 from timberline.operators import aggregates as agg
-from timberline.operators import order, rules, slicing
-from timberline.sources import sinks
+from timberline.operators import many, order, rules, slicing
+from timberline.sources import indexed, shared, sinks
 from timberline.sources.lines import event_lines, parsed
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
@@ -114,6 +114,26 @@ def custom_formats(s, d):
     return lines.select("ord", timestamp(F.col("line"), tuple(strptime_format(f) for f in LAYOUTS)).alias("timestamp"))
 
 
+def slice_by_index(s, d):
+    """The log as text files, sorted by time, and a range of them by probes."""
+    path = shared.new_folder(s, "logs")
+    timed(s, d).orderBy("timestamp", "ord").select("line").write.text(path)
+    return indexed.slice_files(s, path, START, END).select("timestamp", "line")
+
+
+def profile_join(s, d):
+    """A profile for each customer."""
+    key = F.col("c_custkey")
+    start = F.timestamp_add("SECOND", (key * 7919 % 2_600_000).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    end = F.timestamp_add("SECOND", (key % 997 * 61).cast("int"), start)
+    customers = s.read.parquet(f"{d}/customer.parquet").select(key.cast("string").alias("profile"), F.when(key % 50 != 0, start).alias("start"), F.when(key % 49 != 0, end).alias("end"))
+    return many.profile_join(mixed(s, d), customers)
+
+
+#: Each user, and each user's errors.
+MANY_RULES = [agg.ThresholdRule(f"user {i}", f"user={i} ", i % 40 + 1) for i in range(2500)] + [agg.ThresholdRule(f"errors of {i}", f"ERROR error user={i} ", i % 7 + 1) for i in range(2500)]
+
+
 CHAIN = [rules.FormatterStep("strip", lambda c: F.trim(c)), rules.FormatterStep("upper", lambda c: F.upper(c)), rules.FormatterStep("no_debug", lambda c: F.when(~c.contains("DEBUG"), c))]
 
 QUERIES = {
@@ -160,6 +180,9 @@ QUERIES = {
     "q_format_csv": lambda s, d: sinks.csv_lines(timed(s, d)).select("value"),
     "q_regex_dialect": dialect,
     "q_custom_formats": custom_formats,
+    "q_slice_by_index": slice_by_index,
+    "q_profile_join": profile_join,
+    "q_many_literals": lambda s, d: many.alerts_many(mixed(s, d), MANY_RULES),
 }
 
 EVENTS = """WITH ev AS (SELECT event_id AS ord, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END
@@ -255,4 +278,10 @@ ORACLES: dict[str, str] = {
  nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 1), '') AS digit1, nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 2), '') AS digit2, nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 3), '') AS digit3, nullif(regexp_extract(line, 'user=(\d+) props', 1), '') AS "user" FROM mixed""",
     "q_custom_formats": """SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('minute', t) WHEN 1 THEN t + to_milliseconds(o_orderkey % 1000) ELSE date_trunc('day', t) END AS timestamp
  FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS t FROM orders)""",
+    "q_slice_by_index": f"{EVENTS} SELECT t AS timestamp, line FROM ev WHERE {INSIDE}",
+    "q_profile_join": MIXED + """, p AS (SELECT c_custkey AS k, TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 7919 % 2600000) AS a FROM customer), q AS (SELECT k, CASE WHEN k % 50 <> 0 THEN a END AS a, CASE WHEN k % 49 <> 0 THEN a + to_seconds(k % 997 * 61) END AS b FROM p)
+ SELECT CAST(k AS VARCHAR) AS profile, (SELECT count(*) FROM mixed) AS total_lines, count(t) AS matched_lines, (SELECT count(*) FROM mixed WHERE t IS NULL) AS unparseable_lines, min(t) AS first_matched_ts, max(t) AS last_matched_ts
+ FROM q LEFT JOIN mixed ON (a IS NULL OR t >= a) AND (b IS NULL OR t <= b) AND t IS NOT NULL GROUP BY k""",
+    "q_many_literals": MIXED + """, r AS (SELECT 'user ' || i AS rule_name, 'user=' || i || ' ' AS pattern, i % 40 + 1 AS threshold FROM range(2500) x(i) UNION ALL SELECT 'errors of ' || i, 'ERROR error user=' || i || ' ', i % 7 + 1 FROM range(2500) x(i))
+ SELECT rule_name, threshold, count(line) AS matched_count, count(line) >= threshold AS triggered FROM r LEFT JOIN mixed ON contains(line, pattern) GROUP BY rule_name, threshold""",
 }
