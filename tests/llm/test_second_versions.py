@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, embeddings, language, secrets, topk, urls
+from timberline.llm import bpe, embeddings, language, secrets, tiles, topk, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -152,5 +152,5 @@ def test_built_first_and_run_last(spark):
 
 def test_topk_blocks_are_the_same_however_rows_arrive(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    blocks = lambda df: sorted((r["g"], bytes(r["ids"]), bytes(r["matrix"])) for r in topk.packed(df, "g", 3, 256.0).collect())
+    blocks = lambda df: sorted((r["g"], bytes(r["ids"]), bytes(r["matrix"])) for r in tiles.packed(df, "g", 3, 256.0).collect())
     assert blocks(rows) == blocks(rows.repartition(7)) == blocks(rows.orderBy(F.rand(3)))

@@ -50,28 +50,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: File system and path of each table that this process wrote; both outlive the session that made them.
 _written: list[tuple] = []
 
 
+def _placed(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a table that `written` or `new_path` made."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _placed(spark, path)
+    files.delete(at, True)
 
 
 @atexit.register
-def _delete_all() -> None:
-    """What this process wrote goes when it ends: results may be read until then."""
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may be gone
-            delete(spark, path)
+def delete_all() -> None:
+    """What this process wrote goes when it ends, also after spark.stop(): results may be read until then."""
+    while _written:
+        files, at = _written.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            files.delete(at, True)
 
 
 def new_path(spark: SparkSession, *names: str) -> str:
-    """A path in the shared folder for one table, deleted when this process ends."""
-    path = "/".join([shared_dir(spark), *names[:-1], uuid.uuid4().hex, *names[-1:]])
-    _written.append((spark, path))
-    return path
+    """A path in the shared folder for one table, in a folder of its own that is deleted when this process ends."""
+    folder = "/".join([shared_dir(spark), *names[:-1], uuid.uuid4().hex])
+    _written.append(_placed(spark, folder))
+    return f"{folder}/{names[-1]}"
 
 
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:

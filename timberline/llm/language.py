@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import pieces
+from timberline.llm.common import BROADCAST_ROWS, pieces
 
 #: Buckets of hashed n-grams, their lengths, and the documented bound of the training sample.
 BUCKETS, LENGTHS, SAMPLE_PER_LANGUAGE = 1 << 14, (1, 2, 3), 600
-#: Languages that a model can have; its weights have a column for each.
-MOST_LANGUAGES = 1000
+#: Documents of the sample over all languages: where there are more than SAMPLE_MOST / SAMPLE_PER_LANGUAGE languages, each has fewer.
+SAMPLE_MOST = 600_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-4, 1e-4
 #: Code points handled at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 20
@@ -119,18 +119,19 @@ def document_frequencies(docs: DataFrame, text_col: str):
 
 
 def sampled(docs: DataFrame, per_language: int) -> list:
-    """At most per_language rows of each language, by a hash of id and text: (language, place, buckets, counts). Equal rows count once."""
+    """At most per_language rows of each language, by a hash of id and text, SAMPLE_MOST over all: (language, place, buckets, counts). Equal rows count once; of equal hashes the smaller text stands. An empty table gives none."""
     import pyarrow as pa
 
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("_lang"), F.xxhash64("doc_id", "text", F.lit(17)).alias("_order"))
-    counts = known.select("_lang", "_order").distinct().groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()  # a row a language
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    sizes = known.select("_lang", "_order").distinct().groupBy("_lang").count()
+    languages = sizes.count()
+    if not languages:
         return []
+    per_language = max(1, min(per_language, SAMPLE_MOST // languages))
     # only the smallest hashes go on, about twice as many as are taken, so that no task ranks a whole language
-    least = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(2.0**63, (2.0 * per_language + 100) / n * 2.0**64 - 2.0**63))])
-    near = known.where(F.col("_order") <= F.element_at(least, F.col("_lang"))).groupBy("_lang", "_order").agg(F.min("text").alias("text"))
+    least = F.least(F.lit(2.0**63), (2.0 * per_language + 100) / F.col("count") * 2.0**64 - 2.0**63)
+    limits = sizes.select("_lang", least.alias("_least"))
+    near = known.join(F.broadcast(limits) if languages <= BROADCAST_ROWS else limits, "_lang").where("_order <= _least").groupBy("_lang", "_order").agg(F.min("text").alias("text"))
     texts = near.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_order"))).where(F.col("_n") <= per_language).select("_lang", "_n", "text")
 
     def run(batches):

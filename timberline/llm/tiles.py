@@ -20,7 +20,7 @@ BLOCK_BYTES, GROUP_BYTES, SMALL_ROWS, SLOTS, SCORES = 8 << 20, 16 << 20, 2048, 2
 #: Lists merged at a time.
 FAN_IN = 32
 #: Scores are held to this size: whole numbers beyond it are no longs.
-MOST = 2**62
+MOST = 2**63 - 1
 
 
 def groups(rows: DataFrame, fill: bool) -> int:
@@ -96,7 +96,7 @@ def products(queries, matrix) -> Iterator:
     step = max(1, SCORES // max(1, len(matrix)))
     for at in range(0, len(queries), step):
         scores = queries[at : at + step] @ matrix.T
-        yield at, (np.clip(scores, -MOST, MOST) if kind is object else scores).astype(np.int64)
+        yield at, np.array([[max(-MOST, min(MOST, x)) for x in r] for r in scores], np.int64).reshape(scores.shape) if kind is object else scores.astype(np.int64)
 
 
 def best(scores, barred, ids, k: int):

@@ -1,8 +1,7 @@
 """Exact top-k search by tiled matrix products.
 
-Queries and candidates are dealt to groups by a hash, and each group is packed into blocks of bounded size, one matrix a row, in
-the order of its ids: a task that runs again makes the same blocks. A grid of query groups by candidate groups deals the blocks; each tile is one matrix product with a partial selection of k for each
-query, and a query's partial lists are merged in a tree. Every candidate meets every query once.
+Queries and candidates meet in tiles (see tiles.py); of each tile's scores one partition keeps the k best of every query, and a query's lists are merged in a
+tree. Every candidate meets every query once.
 """
 
 from __future__ import annotations
@@ -10,74 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import pieces
-from timberline.llm.vectors import by_dimension
-
-#: Rows of a block, rows of a group of the grid, and lists merged at a time.
-BLOCK_ROWS, GROUP_ROWS, FAN_IN = 2048, 4096, 32
-EXACT = 2**53
-
-
-def packed(rows: DataFrame, group: str, groups: int, scale: float) -> DataFrame:
-    """(id long, vector array) -> blocks (group, dim int, ids binary, matrix binary of float64 floor(scale * x))."""
-    import pyarrow as pa
-
-    dealt = rows.select(F.pmod(F.xxhash64("id", "vector"), F.lit(groups)).cast("int").alias("g"), "id", "vector", F.xxhash64("vector").alias("tie"))
-    sorted_ = dealt.repartition("g").sortWithinPartitions("g", "id", "tie").select("g", "id", "vector")
-
-    def run(batches):
-        import numpy as np
-
-        held: dict[int, list] = {}
-        now = None
-
-        def block(d, parts):
-            ids, matrix = (np.concatenate([p[i] for p in parts]) for i in range(2))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], [group, "dim", "ids", "matrix"])
-
-        for batch in pieces(batches):
-            g = batch.column(0).to_numpy()
-            for at in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
-                if not len(at):
-                    continue
-                if g[at[0]] != now:
-                    yield from (block(d, parts) for d, parts in held.items())
-                    held, now = {}, int(g[at[0]])
-                part = batch.slice(int(at[0]), len(at))
-                ids = part.column(1).to_numpy().astype(np.int64)
-                for own, matrix in by_dimension(part.column(2)):
-                    parts = held.setdefault(matrix.shape[1], [])
-                    parts.append((ids[own], np.floor(scale * matrix)))
-                    if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
-                        yield block(matrix.shape[1], held.pop(matrix.shape[1]))
-        yield from (block(d, parts) for d, parts in held.items())
-
-    return sorted_.mapInArrow(run, f"{group} int, dim int, ids binary, matrix binary")
-
-
-def tile(query_ids, queries, ids, matrix, k: int):
-    """(query id, candidate id, score) of the k best of the tile for each query: higher scores, then smaller ids."""
-    import numpy as np
-
-    bound = queries.shape[1] * max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(matrix).max(initial=0))
-    order = np.argsort(ids, kind="stable")
-    ids, matrix = ids[order], matrix[order]
-    if bound < EXACT:
-        scores = (queries @ matrix.T).astype(np.int64)
-    else:  # whole numbers of any size, held to the range of long at the end
-        whole = np.array([[int(x) for x in r] for r in queries], object) @ np.array([[int(x) for x in r] for r in matrix], object).T
-        scores = np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
-    out = []
-    for i, q in enumerate(query_ids.tolist()):
-        own = ids != q
-        s, c = scores[i][own], ids[own]
-        if len(s) > k:
-            least = -np.partition(-s, k - 1)[k - 1] if bound < EXACT else np.sort(s)[-k]
-            above, ties = np.flatnonzero(s > least), np.flatnonzero(s == least)
-            at = np.concatenate([above, ties[: k - len(above)]])
-            s, c = s[at], c[at]
-        out.append((np.full(len(s), q), c, s))
-    return [np.concatenate([o[j] for o in out]) if out else np.empty(0, np.int64) for j in range(3)]
+from timberline.llm import tiles
 
 
 def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -90,31 +22,19 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0, id_c
     import pyarrow as pa
 
     chosen = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asked")).where("id is not null and vector is not null")
-    total, asked = chosen.agg(F.count("*"), F.count_if("asked")).first()
-    candidate_groups, query_groups = max(1, -(-total // GROUP_ROWS)), max(1, -(-asked // GROUP_ROWS))
-    deal = lambda df, other, m: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    candidates = deal(packed(chosen.select("id", "vector"), "cg", candidate_groups, scale), "qg", query_groups).alias("c")
-    queries = deal(packed(chosen.where("asked").select("id", "vector").distinct(), "qg", query_groups, scale), "cg", candidate_groups).alias("q")
-    tiles = candidates.join(queries.hint("shuffle_merge"), ["cg", "qg", "dim"]).select("cg", "dim", F.col("q.ids").alias("qids"), F.col("q.matrix").alias("qmatrix"), F.col("c.ids").alias("cids"), F.col("c.matrix").alias("cmatrix"))
+    asked = chosen.where("asked").select("id", "vector").distinct()
+    n_candidates, n_queries = tiles.groups(chosen, True), tiles.groups(asked, False)
+    grid = tiles.grid(tiles.packed(chosen, "cg", n_candidates, scale), n_candidates, tiles.packed(asked, "qg", n_queries, scale), n_queries)
 
     def run(batches):
         import numpy as np
 
-        for batch in pieces(batches):
-            for cg, d, qi, qm, ci, cm in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                found = tile(np.frombuffer(qi, np.int64), np.frombuffer(qm).reshape(-1, d), np.frombuffer(ci, np.int64), np.frombuffer(cm).reshape(-1, d), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), cg), pa.int64()), *map(pa.array, found)], ["node", "query_id", "vec_id", "score"])
+        for cg, qids, q, cids, c in tiles.each_tile(batches, 0):
+            for at, scores in tiles.products(q, c):
+                row, place = tiles.best(scores, cids == qids[at : at + len(scores), None], cids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), cg), pa.int64()), *map(pa.array, (qids[at + row], cids[place], scores[row, place]))], ["node", "query_id", "vec_id", "score"])
 
-    lists = tiles.mapInArrow(run, "node long, query_id long, vec_id long, score long")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "vec_id", "score"))), 1, k).alias("best")
-    width = candidate_groups
-    while True:
-        lists = lists.groupBy("query_id", F.floor(F.col("node") / FAN_IN).alias("node")).agg(best)
-        width = -(-width // FAN_IN)
-        ranked = lists.select("query_id", "node", F.posexplode("best").alias("at", "b"))
-        if width <= 1:
-            return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score")
-        lists = ranked.select("query_id", "node", "b.vec_id", "b.score")
+    return tiles.merged(grid.mapInArrow(run, "node long, query_id long, vec_id long, score long"), "query_id", n_candidates, k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -75,24 +75,25 @@ def tokens(url: Column, host_: Column, path_: Column) -> Column:
 def learn(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens array, verdict) -> rules: (rule_tokens, size, verdict, confidence, support), pruned.
 
-    A rule goes if it has a verdict among its conditions, or if a rule with a part of its tokens says the same with no less confidence.
+    Repeated rows count as often; null tokens or verdicts teach nothing; of an empty table there are no rules. A rule goes if it has a verdict among its conditions, or if a rule with a part of its tokens says the same with no less confidence.
     """
+    total = labelled.count()
     # tokens of the same URLs have the same number and sums of hashes; only frequent ones can be in a rule
     alike = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")).withColumns({"a": F.xxhash64("tokens", "verdict").cast("decimal(38,0)"), "b": F.xxhash64(F.lit(1), "tokens", "verdict").cast("decimal(38,0)")})
-    seen = alike.select(F.explode("tokens").alias("token"), "n", "a", "b").groupBy("token").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("n") >= min_support * labelled.count())
+    seen = alike.select(F.explode("tokens").alias("token"), "n", "a", "b").groupBy("token").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("n") >= min_support * total)
     # no more than 1 / min_support tokens of a URL's length each can be frequent: a small table
     classes = written(seen.groupBy("n", "a", "b").agg(F.array_sort(F.collect_set("token")).alias("members")).select(F.col("members")[0].alias("token"), "members"))
     standing = labelled.withColumn("t", F.monotonically_increasing_id()).select("t", "verdict", F.explode("tokens").alias("token")).join(classes.select("token"), "token").groupBy("t", "verdict").agg(F.collect_set("token").alias("tokens"))
-    transactions = standing.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
-    if transactions.isEmpty():  # no token is frequent
+    transactions = written(standing.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items")))
+    if not (taking_part := transactions.count()):  # no token is frequent
         return labelled.sparkSession.createDataFrame([], "rule_tokens array<string>, size int, verdict string, confidence double, support double")
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions).associationRules
     rules = found.where(F.col("consequent")[0].startswith("v:") & ~F.exists("antecedent", lambda t: t.startswith("v:"))).select(
-        F.array_sort("antecedent").alias("rule_tokens"), F.size("antecedent").alias("size"), F.substring(F.col("consequent")[0], 3, 99).alias("verdict"), "confidence", "support"
+        F.array_sort("antecedent").alias("rule_tokens"), F.size("antecedent").alias("size"), F.expr("substring(consequent[0], 3)").alias("verdict"), "confidence", "support"
     )
     rules = written(rules)
     # support and confidence are shares of all labelled URLs, of which some may have no frequent token
-    rules = rules.withColumn("support", F.col("support") * F.lit(transactions.count() / max(1, labelled.count()))).where(F.col("support") >= min_support * (1 - 1e-12))
+    rules = rules.withColumn("support", F.col("support") * F.lit(taking_part / total)).where(F.col("support") >= min_support * (1 - 1e-12))
     # a shorter rule is found by one token it shares; the parts of a rule are among the rules of its tokens
     part = rules.select(F.col("rule_tokens").alias("part"), F.col("size").alias("part_size"), "verdict", F.col("confidence").alias("part_confidence"), F.col("rule_tokens")[0].alias("token"))
     whole = rules.withColumn("token", F.explode("rule_tokens"))
@@ -105,7 +106,7 @@ def learn(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens array -> tokens, verdict: that of the most confident learned rule that fits (then support, then fewer tokens, then order); none: no row."""
+    """tokens array -> tokens, verdict: that of the most confident learned rule that fits (then support, then fewer tokens, then the tokens' order); none: no row. An empty table gives none."""
     held = rules.withColumn("rule", F.monotonically_increasing_id()).withColumn("token", F.explode("rule_tokens"))
     often = urls.select(F.explode("tokens").alias("token")).join(held.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     # a rule with a token that no URL has fits none; else it is found by its rarest token
