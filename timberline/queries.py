@@ -106,18 +106,18 @@ LAYOUTS = ("%A, %d %B %Y %I:%M %p", "UTC %y%m%d %H:%M:%S.%f", "%j of %Y")
 
 
 def custom_formats(s, d):
-    """Orders as lines in three layouts, by turns, and the time that is read from each."""
-    orders, key = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate"), F.col("o_orderkey")
-    at = F.timestamp_add("SECOND", (key % 86_400).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
+    """Documents as lines of an index in three layouts, by turns, and the time that is read from each."""
+    docs, key = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), F.col("doc_id")
+    at = F.timestamp_add("SECOND", (key * 7919 % 900_000_000).cast("int"), F.lit("1992-01-01").cast("timestamp_ntz"))
     text = F.when(key % 3 == 0, F.date_format(at, "EEEE, d MMMM yyyy hh:mm a")).when(key % 3 == 1, F.concat(F.lit("UTC "), F.date_format(at, "yyMMdd H:m:s"), F.lit("."), F.lpad((key % 1000).cast("string"), 3, "0"))).otherwise(F.date_format(at, "D 'of' yyyy"))
-    lines = orders.select(key.alias("ord"), F.concat(F.lit("<"), text, F.lit("> order="), key.cast("string")).alias("line"))
+    lines = docs.select(key.alias("ord"), F.concat(F.lit("<"), text, F.lit("> document="), key.cast("string"), F.lit(" source="), F.coalesce("source", F.lit("-"))).alias("line"))
     return lines.select("ord", timestamp(F.col("line"), tuple(strptime_format(f) for f in LAYOUTS)).alias("timestamp"))
 
 
 def slice_by_index(s, d):
-    """The log as text files, sorted by time, and a range of them by probes."""
+    """Events and conversations as text files, sorted by time, and a range of them by probes. What has no time stands first; line ends inside of a text become blanks."""
     path = shared.new_folder(s, "logs")
-    timed(s, d).orderBy("timestamp", "ord").select("line").write.text(path)
+    mixed(s, d).orderBy("timestamp", "ord").select(F.translate("line", "\r\n", "  ").alias("line")).write.text(path)
     return indexed.slice_files(s, path, START, END).select("timestamp", "line")
 
 
@@ -276,9 +276,9 @@ ORACLES: dict[str, str] = {
  regexp_matches(line, '[\[{]|[ab&]&') AS brackets, regexp_matches(line, 'user=\d{0,2} ') AS few, regexp_matches(line, '[}.]\n?\z') AS ends, regexp_matches(line, 'user=\d+ props') AS ahead, regexp_matches(line, '(?i:PURCHASE) user') AS "local",
  regexp_matches(line, 'aa|bb|cc|dd|ee|ff|gg|hh|ii|jj|kk|ll|mm|nn|oo|pp|qq|rr|ss|tt|uu|vv|ww|xx|yy|zz') AS named, false AS never, regexp_matches(line, '(^|[^\pL\pN_])\pL+([^\pL\pN_]|$)') AS word,
  nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 1), '') AS digit1, nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 2), '') AS digit2, nullif(regexp_extract(line, 'user=(\d)(\d)?(\d)?', 3), '') AS digit3, nullif(regexp_extract(line, 'user=(\d+) props', 1), '') AS "user" FROM mixed""",
-    "q_custom_formats": """SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('minute', t) WHEN 1 THEN t + to_milliseconds(o_orderkey % 1000) ELSE date_trunc('day', t) END AS timestamp
- FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS t FROM orders)""",
-    "q_slice_by_index": f"{EVENTS} SELECT t AS timestamp, line FROM ev WHERE {INSIDE}",
+    "q_custom_formats": """SELECT doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN date_trunc('minute', t) WHEN 1 THEN t + to_milliseconds(doc_id % 1000) ELSE date_trunc('day', t) END AS timestamp
+ FROM (SELECT doc_id, TIMESTAMP '1992-01-01' + to_seconds(doc_id * 7919 % 900000000) AS t FROM documents)""",
+    "q_slice_by_index": f"{MIXED} SELECT t AS timestamp, replace(replace(line, chr(13), ' '), chr(10), ' ') AS line FROM mixed WHERE {INSIDE}",
     "q_profile_join": MIXED + """, p AS (SELECT c_custkey AS k, TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 7919 % 2600000) AS a FROM customer), q AS (SELECT k, CASE WHEN k % 50 <> 0 THEN a END AS a, CASE WHEN k % 49 <> 0 THEN a + to_seconds(k % 997 * 61) END AS b FROM p)
  SELECT CAST(k AS VARCHAR) AS profile, (SELECT count(*) FROM mixed) AS total_lines, count(t) AS matched_lines, (SELECT count(*) FROM mixed WHERE t IS NULL) AS unparseable_lines, min(t) AS first_matched_ts, max(t) AS last_matched_ts
  FROM q LEFT JOIN mixed ON (a IS NULL OR t >= a) AND (b IS NULL OR t <= b) AND t IS NOT NULL GROUP BY k""",
