@@ -12,6 +12,7 @@ from timberline.functions.text import iso
 from timberline.functions.timestamps import strptime_format, timestamp
 from timberline.operators import aggregates as agg
 from timberline.operators import many, order, rules, slicing
+from timberline.plans.stats_table import StatsTable
 from timberline.sources import indexed, shared, sinks
 from timberline.sources.lines import event_lines, parsed
 
@@ -121,6 +122,16 @@ def slice_by_index(s, d):
     return indexed.slice_files(s, path, START, END).select("timestamp", "line")
 
 
+def file_stats(s, d):
+    """Stats of text files in two steps: half of the lines, then the others beside them; only these are read then, and the counts merged."""
+    path, table = shared.new_folder(s, "logs"), StatsTable(s, shared.new_folder(s, "stats"))
+    for half in (0, 1):
+        mixed(s, d).where(F.col("ord") % 2 == half).select(F.translate("line", "\r\n", "  ").alias("line")).write.mode("append").text(path)
+        row = table.stats(path, START, END)
+    kinds = ", ".join(f"{c} {'double' if c == 'match_rate' else 'timestamp_ntz' if c.endswith('_ts') else 'long'}" for c in row.__fields__)
+    return s.createDataFrame([tuple(row)], kinds)
+
+
 def profile_join(s, d):
     """A profile for each customer."""
     key = F.col("c_custkey")
@@ -181,6 +192,7 @@ QUERIES = {
     "q_regex_dialect": dialect,
     "q_custom_formats": custom_formats,
     "q_slice_by_index": slice_by_index,
+    "q_file_stats": file_stats,
     "q_profile_join": profile_join,
     "q_many_literals": lambda s, d: many.alerts_many(mixed(s, d), MANY_RULES),
 }
@@ -279,6 +291,7 @@ ORACLES: dict[str, str] = {
     "q_custom_formats": """SELECT doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN date_trunc('minute', t) WHEN 1 THEN t + to_milliseconds(doc_id % 1000) ELSE date_trunc('day', t) END AS timestamp
  FROM (SELECT doc_id, TIMESTAMP '1992-01-01' + to_seconds(doc_id * 7919 % 900000000) AS t FROM documents)""",
     "q_slice_by_index": f"{MIXED} SELECT t AS timestamp, replace(replace(line, chr(13), ' '), chr(10), ' ') AS line FROM mixed WHERE {INSIDE}",
+    "q_file_stats": f"{MIXED} SELECT *, matched_lines / total_lines AS match_rate FROM (SELECT {_stats}, min(t) FILTER (WHERE {INSIDE}) AS first_matched_ts, max(t) FILTER (WHERE {INSIDE}) AS last_matched_ts FROM mixed)",
     "q_profile_join": MIXED + """, p AS (SELECT c_custkey AS k, TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 7919 % 2600000) AS a FROM customer), q AS (SELECT k, CASE WHEN k % 50 <> 0 THEN a END AS a, CASE WHEN k % 49 <> 0 THEN a + to_seconds(k % 997 * 61) END AS b FROM p)
  SELECT CAST(k AS VARCHAR) AS profile, (SELECT count(*) FROM mixed) AS total_lines, count(t) AS matched_lines, (SELECT count(*) FROM mixed WHERE t IS NULL) AS unparseable_lines, min(t) AS first_matched_ts, max(t) AS last_matched_ts
  FROM q LEFT JOIN mixed ON (a IS NULL OR t >= a) AND (b IS NULL OR t <= b) AND t IS NOT NULL GROUP BY k""",

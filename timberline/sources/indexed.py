@@ -112,15 +112,17 @@ class LogFile:
         return out
 
 
-class RangeReader(DataSourceReader):
-    def __init__(self, paths: list[str], start, end, formats):
-        self.paths, self.start, self.end, self.formats = paths, start, end, formats
+class SpanReader(DataSourceReader):
+    """Spans of files, cut into tasks of TASK_BYTES."""
+
+    def __init__(self, spans: list[tuple[int, str, int, int]]):
+        self.spans = spans
+
+    def planned(self) -> list[tuple[int, str, int, int]]:
+        return self.spans
 
     def partitions(self) -> list[Span]:
-        out = []
-        for place, path in enumerate(self.paths):
-            for a, b in LogFile(path, self.formats).spans(self.start, self.end):
-                out += [Span(place, path, at, min(b, at + TASK_BYTES)) for at in range(a, b, TASK_BYTES)]
+        out = [Span(place, path, at, min(b, at + TASK_BYTES)) for place, path, a, b in self.planned() for at in range(a, b, TASK_BYTES)]
         return out or [Span(0, "", 0, 0)]
 
     def read(self, span: Span) -> Iterator:
@@ -150,19 +152,52 @@ class RangeReader(DataSourceReader):
                 at += len(data)
 
 
-def range_source(paths: list[str], start, end, formats) -> type[DataSource]:
-    class RangeSource(DataSource):
+class RangeReader(SpanReader):
+    """The spans of files that can hold lines from start to end, found when the tasks are planned."""
+
+    def __init__(self, paths: list[str], start, end, formats):
+        self.paths, self.start, self.end, self.formats = paths, start, end, formats
+
+    def planned(self) -> list[tuple[int, str, int, int]]:
+        return [(place, path, a, b) for place, path in enumerate(self.paths) for a, b in LogFile(path, self.formats).spans(self.start, self.end)]
+
+
+def lines_by(spark: SparkSession, reader: SpanReader) -> DataFrame:
+    """ord struct<file, at>, source, line of a reader's spans."""
+
+    class Source(DataSource):
         @classmethod
         def name(cls) -> str:
-            return "log_range"
+            return "log_spans"
 
         def schema(self) -> str:
             return "ord struct<file: int, at: long>, source string, line string"
 
-        def reader(self, schema) -> RangeReader:
-            return RangeReader(paths, start, end, formats)
+        def reader(self, schema) -> SpanReader:
+            return reader
+
+    spark.dataSource.register(Source)
+    return spark.read.format("log_spans").load()
+
+
+def files_at(path: str) -> list[str]:
+    """A file, the files of a folder, or those of a pattern, by name; hidden ones (`_`, `.`) are left out."""
+    local = path.removeprefix("file://")
+    return sorted(p for p in glob.glob(f"{local}/*" if os.path.isdir(local) else local) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
 
-    return RangeSource
+
+def last_line_feed(path: str, size: int) -> int:
+    """Where the line after the last line feed below size begins; 0 without one."""
+    at, step = size, 65_536
+    with open(path, "rb") as f:
+        while at > 0:
+            begin = max(0, at - step)
+            f.seek(begin)
+            cut = f.read(at - begin).rfind(b"\n")
+            if cut >= 0:
+                return begin + cut + 1
+            at = begin
+    return 0
 
 
 def slice_files(spark: SparkSession, path: str, start=None, end=None, include_unparsed: bool = False, formats=DEFAULT, jitter: float = 0) -> DataFrame:
@@ -172,11 +207,9 @@ def slice_files(spark: SparkSession, path: str, start=None, end=None, include_un
     read. Files are taken by name; hidden ones (`_`, `.`) in folders are left out."""
     start, end = bound(start), bound(end)
     need(jitter >= 0, "the jitter must not be negative")
-    local = path.removeprefix("file://")
-    paths = sorted(p for p in glob.glob(f"{local}/*" if os.path.isdir(local) else local) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
+    paths = files_at(path)
     need(len(paths) > 0, f"no file at {path}")
     if include_unparsed or (start is None and end is None):
         return slice_lines(parsed(read_lines(spark, *paths), formats), start, end, include_unparsed)
     slack = timedelta(seconds=jitter)
-    spark.dataSource.register(range_source(paths, start and start - slack, end and end + slack, tuple(formats)))
-    return slice_lines(parsed(spark.read.format("log_range").load(), formats), start, end)
+    return slice_lines(parsed(lines_by(spark, RangeReader(paths, start and start - slack, end and end + slack, tuple(formats))), formats), start, end)

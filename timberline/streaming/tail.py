@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import hashlib
 import os
 import threading
 import time
@@ -13,64 +15,101 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timberline.functions.timestamps import DEFAULT
 from timberline.operators.slicing import slice_lines
+from timberline.sources.indexed import last_line_feed
 from timberline.sources.lines import parsed
 
 
 #: Bytes of a task's share of what was appended.
 SPAN_BYTES = 64 << 20
+#: Bytes of a first line that tell a file.
+FIRST_LINE = 1024
 
 
 class Span(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def identity(path: str) -> str | None:
+    """Inode and a digest of the first line: stays when a file is renamed or grows, changes when it is written anew. None while it has no whole line."""
+    try:
+        with open(path, "rb") as f:
+            first = f.readline(FIRST_LINE)
+            if not first.endswith(b"\n") and len(first) < FIRST_LINE:
+                return None
+            at = os.fstat(f.fileno())
+    except OSError:
+        return None
+    return f"{at.st_dev}:{at.st_ino}:{hashlib.sha256(first).hexdigest()[:16]}"
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are bytes. Bytes after the last line feed wait for theirs; a file that shrank is read from its start."""
+    """Offsets are bytes by file identity, of the files that the path or pattern names. Bytes after the last line feed wait for theirs.
+
+    A file that was renamed goes on under its new name; one that the pattern no longer names is read to its end, if it still is in its folder. A file written
+    anew, longer or shorter than before, is another one and is read from its start."""
 
     def __init__(self, path: str, from_start: bool):
-        self.path, self.from_start, self.last = path, from_start, None
-
-    def _complete(self) -> int:
-        size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
-        at, step = size, 65_536
-        with open(self.path, "rb") if size else open(os.devnull, "rb") as f:
-            while at > 0:
-                begin = max(0, at - step)
-                f.seek(begin)
-                cut = f.read(at - begin).rfind(b"\n")
-                if cut >= 0:
-                    return begin + cut + 1
-                at = begin
-        return 0
+        self.path, self.from_start = path, from_start
+
+    def _now(self) -> dict:
+        out = {}
+        for path in sorted(glob.glob(self.path)):
+            if os.path.isfile(path) and (name := identity(path)):
+                out[name] = {"path": path, "at": last_line_feed(path, os.path.getsize(path))}
+        return out
 
     def initialOffset(self) -> dict:
-        return {"at": 0 if self.from_start else self._complete()}
+        return {"files": {name: f | ({"at": 0} if self.from_start else {}) for name, f in self._now().items()}}
 
     def latestOffset(self) -> dict:
-        return {"at": self._complete()}
+        return {"files": self._now()}
+
+    def _find(self, name: str, path: str) -> str | None:
+        """Where the file is now: in its place, or under another name in its folder."""
+        if identity(path) == name:
+            return path
+        folder = os.path.dirname(path) or "."
+        inode = int(name.split(":")[1])
+        try:
+            found = [e.path for e in os.scandir(folder) if e.inode() == inode and e.is_file()]
+        except OSError:
+            return None
+        return next((p for p in found if identity(p) == name), None)
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         """Spans of whole lines, of about SPAN_BYTES each: a backlog is many tasks."""
-        begin, out = start["at"] if end["at"] >= start["at"] else 0, []
-        while begin < end["at"]:
-            stop = min(end["at"], begin + SPAN_BYTES)
-            if stop < end["at"]:
-                with open(self.path, "rb") as f:
+        out = []
+        for name, f in start["files"].items():
+            if name not in end["files"] and (path := self._find(name, f["path"])):
+                out += self._spans(path, f["at"], os.path.getsize(path))
+        for name, f in end["files"].items():
+            begin = start["files"].get(name, {"at": 0})["at"]
+            path = self._find(name, f["path"])
+            if path:
+                out += self._spans(path, begin if begin <= f["at"] else 0, f["at"])
+        return out
+
+    def _spans(self, path: str, begin: int, end: int) -> list[Span]:
+        out = []
+        while begin < end:
+            stop = min(end, begin + SPAN_BYTES)
+            if stop < end:
+                with open(path, "rb") as f:
                     f.seek(stop - 1)
-                    stop = min(end["at"], stop - 1 + len(f.readline()))
-            out.append(Span(begin, stop))
+                    stop = min(end, stop - 1 + len(f.readline()))
+            out.append(Span(path, begin, stop))
             begin = stop
         return out
 
     def read(self, partition: Span):
-        with open(self.path, "rb") as f:
+        with open(partition.path, "rb") as f:
             f.seek(at := partition.start)
             while at < partition.end:
                 raw = f.readline()
                 if not raw:
                     break
-                yield (at, self.path, raw.removesuffix(b"\n").decode("utf-8", "replace").rstrip("\r"))
+                yield (at, partition.path, raw.removesuffix(b"\n").decode("utf-8", "replace").rstrip("\r"))
                 at += len(raw)
 
     def commit(self, end: dict) -> None:
@@ -78,7 +117,8 @@ class TailReader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """format("tail_lines"), options path and fromStart (false: only what is appended). For a file that all executors see."""
+    """format("tail_lines"), options path (a file or a pattern) and fromStart (false: only what is appended to files that are there). For files that all
+    executors see. ord: the byte in its file at which a line begins."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,7 +132,7 @@ class TailSource(DataSource):
 
 
 def tail(spark: SparkSession, path: str, start=None, end=None, from_start: bool = False, formats=DEFAULT) -> DataFrame:
-    """Lines appended to a file, parsed and within the range."""
+    """Lines appended to a file, or to the files of a pattern, parsed and within the range."""
     spark.dataSource.register(TailSource)
     lines = spark.readStream.format("tail_lines").option("path", path).option("fromStart", str(from_start).lower()).load()
     return slice_lines(parsed(lines, formats), start, end)
