@@ -109,7 +109,14 @@ def entries(n, seed):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 100_000])
+def test_dedup_shuffles_lines_once(spark):
+    """Keys that are no larger than a block: one exchange that carries lines, and the last aggregation needs none."""
+    df = spark.createDataFrame([(i, t, k, f"{k}{i}") for i, t, k in entries(50, 1)], "ord long, timestamp timestamp_ntz, k string, line string")
+    plan = order.dedup(df, 60, F.col("k"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("block", [7, 40, 100_000])
 def test_sessions_dedup_context_sample(spark, monkeypatch, block):
     monkeypatch.setattr(order, "BLOCK", block)
     rows = entries(120, 3)

@@ -16,7 +16,8 @@ from timberline.errors import need
 from timberline.functions.text import blank, once, strip, without_first
 from timberline.functions.timestamps import DEFAULT, timestamp_text
 
-BLOCK = 100_000
+#: Lines of a block, and of a key at most that is one window; rows of a table of large keys that is broadcast at most.
+BLOCK, BROADCAST_ROWS = 100_000, 100_000
 _held: list[DataFrame] = []
 
 
@@ -43,12 +44,35 @@ def placed(df: DataFrame, *by: str) -> DataFrame:
 
 
 def runs(lines: DataFrame, keys: list[str], breaks: Callable[[Column], Column], skip_nulls: bool) -> DataFrame:
-    """Adds pos, _new (1 where a run begins by breaks(previous timestamp), else 0) and _run, the sum of _new so far.
+    """Adds _new (1 where a run begins by breaks(previous timestamp), else 0) and _run, the sum of _new so far.
+
+    The previous timestamp is that of the line before of the same keys, or with skip_nulls the last that isn't null. Keys of at most BLOCK lines, counted
+    first, are windows: one shuffle of lines. Larger ones, and all lines without keys, go in blocks."""
+    if not keys:
+        return in_blocks(lines, keys, breaks, skip_nulls)
+    large = lines.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).drop("_n")
+    n = large.count()
+    if not n:
+        return in_windows(lines, keys, breaks, skip_nulls)
+    named = large.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)])
+    named = F.broadcast(named) if n <= BROADCAST_ROWS else named
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    blocks, windows = in_blocks(lines.join(named, on, "left_semi"), keys, breaks, skip_nulls), in_windows(lines.join(named, on, "left_anti"), keys, breaks, skip_nulls)
+    return windows.unionByName(blocks)
+
+
+def in_windows(lines: DataFrame, keys: list[str], breaks: Callable[[Column], Column], skip_nulls: bool) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("ord")
+    before = F.last("timestamp", True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if skip_nulls else F.lag("timestamp").over(w)
+    flagged = lines.withColumn("_before", before).withColumn("_new", breaks(F.col("_before")).cast("long")).drop("_before")
+    return flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
 
-    The previous timestamp is that of the line before of the same keys, or with skip_nulls the last that isn't null. Lines are
-    sorted by keys and order and cut into blocks of places, so a key that holds most lines is many tasks like any
-    others; between the blocks of a key only summaries travel, one row a key and block.
-    """
+def in_blocks(lines: DataFrame, keys: list[str], breaks: Callable[[Column], Column], skip_nulls: bool) -> DataFrame:
+    """Lines are sorted by keys and order and cut into blocks of places, so a key that holds most lines is many tasks; between the blocks of a key
+    only summaries travel, one row a key and block: of keys of more than a block each, few."""
     numbered = placed(lines, *keys, "ord").withColumn("_block", F.floor(F.col("pos") / BLOCK))
     w, blocks = Window.partitionBy("_block", *keys).orderBy("pos"), Window.partitionBy(*keys).orderBy("_block")
     earlier = lambda over: over.rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +85,7 @@ def runs(lines: DataFrame, keys: list[str], breaks: Callable[[Column], Column],
     sums = flagged.groupBy("_block", *keys).agg(F.sum("_new").alias("_sum"))
     begun = sums.select("_block", *keys, F.coalesce(F.sum("_sum").over(earlier(blocks)), F.lit(0)).alias("_begun"))
     inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return same_keys(flagged.withColumn("_run", inside), begun, ["_block", *keys]).withColumn("_run", F.col("_run") + F.col("_begun")).drop("_block", "_carried", "_begun")
+    return same_keys(flagged.withColumn("_run", inside), begun, ["_block", *keys]).withColumn("_run", F.col("_run") + F.col("_begun")).drop("_block", "_carried", "_begun", "pos")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,8 +133,8 @@ def micros(ts: Column) -> Column:
 def _sessions(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return flagged.groupBy(*keys, "index").agg(
         F.count("*").alias("entry_count"),
-        F.min_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("pos"))).alias("start"),
-        F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("pos"))).alias("end"),
+        F.min_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("ord"))).alias("start"),
+        F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("ord"))).alias("end"),
     ).withColumn("duration_seconds", F.timestamp_diff("SECOND", F.col("start"), F.col("end")).cast("double"))
 
 
