@@ -101,6 +101,18 @@ def test_aggregates(spark):
     assert {(r["line"], r["section"]) for r in d.collect()} == {("a", "removed"), ("b", "common"), ("c", "common"), ("d", "added")}
 
 
+def test_groups_that_take_no_part_and_long_groups(spark):
+    lines = from_list(spark, [f"{'a' if i % 3 else ''}b{i}" for i in range(100)] + ["none"])
+    got = {r["key"]: r["count"] for r in agg.aggregate_by_key(lines, "(a)?b").collect()}
+    assert got == {None: 34, "a": 66}
+    chunks = order.grouped_lines(lines, "(a)?b", most=7).orderBy("key", "chunk").collect()
+    assert max(len(r["lines"]) for r in chunks) <= 7
+    for key in (None, "a"):
+        assert [x for r in chunks if r["key"] == key for x in r["lines"]] == [f"{'a' if i % 3 else ''}b{i}" for i in range(100) if bool(i % 3) == (key == "a")]
+    assert len([r for r in chunks if r["key"] == "a"]) >= 9
+    order.release()
+
+
 def entries(n, seed):
     rng, t, out = random.Random(seed), datetime(2024, 1, 1), []
     for i in range(n):

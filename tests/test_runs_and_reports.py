@@ -62,7 +62,8 @@ def test_windowed_streams_and_idle_stop(spark, tmp_path):
     log.write_text("".join(f"2024-01-01 10:00:{s:02d} m\n" for s in (1, 2, 31)) + "2024-01-01 12:00:00 m\n")
     for name, make in (("rate", lambda x: tail.rate_stream(x, 30)), ("sessions", lambda x: tail.sessions_stream(x, 10)), ("dedup", lambda x: tail.dedup_stream(x, 10, F.substring("line", 21, 9)))):
         seen = []
-        q = make(tail.tail(spark, str(log), from_start=True)).writeStream.foreachBatch(lambda df, _: seen.extend(r.asDict().get("count", r.asDict().get("entry_count")) for r in df.collect())).option("checkpointLocation", str(tmp_path / name)).start()
+        with tail.idle_events(spark, 0.5):
+            q = make(tail.tail(spark, str(log), from_start=True)).writeStream.foreachBatch(lambda df, _: seen.extend(r.asDict().get("count", r.asDict().get("entry_count")) for r in df.collect())).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         assert sorted(seen) == [1, 2], name
         tail.stop_when_idle(q, 0.5).join(30)
@@ -146,3 +147,20 @@ def test_command_line(spark, log, tmp_path, capsys):
 def test_on_route(spark):
     got = rules.route(from_list(spark, ["ERROR a", "b"]), [rules.RouteRule("e", "ERROR", "errors")]).orderBy("ord").collect()
     assert [(r["destination"], r["rule_name"]) for r in got] == [("errors", "e"), ("unmatched", None)]
+
+
+def test_line_ends_count_without_stripping(spark, tmp_path):
+    """A last line without line feed is another line than one with it; CR LF is a line feed; an empty file has no line."""
+    from timberline.plans.specs import Comparison
+
+    a, b, empty = (tmp_path / n for n in ("a", "b", "empty"))
+    a.write_bytes(b"x\ny \r\n\nlast")
+    b.write_bytes(b"x\ny \n\nlast\n")
+    empty.write_bytes(b"")
+    told = lambda *files, **kw: {(r["line"], r["section"]) for r in Comparison(*map(str, files), **kw).run(spark).collect()}
+    assert told(a, b, strip_whitespace=False) == {("x\n", "common"), ("y \n", "common"), ("\n", "common"), ("last", "removed"), ("last\n", "added")}
+    assert told(a, b) == {("x", "common"), ("y", "common"), ("", "common"), ("last", "common")}
+    assert told(empty, b, strip_whitespace=False) == {(x, "added") for x in ("x\n", "y \n", "\n", "last\n")}
+    a.write_bytes(b"\xff\n")
+    with pytest.raises(Exception, match="(?i)utf"):
+        told(a, b, strip_whitespace=False)

@@ -14,10 +14,12 @@ from timberline.operators.slicing import in_range
 
 
 def aggregate_by_key(lines: DataFrame, pattern: str, group: int = 1, keep_lines: bool = False) -> DataFrame:
-    """key, count, first_line, last_line, first_ord (and lines): one row a key, ordered by first_ord as first seen."""
+    """key, count, first_line, last_line, first_ord (and lines): one row a key, ordered by first_ord as first seen. Lines whose match has no such group are those of the null key.
+
+    keep_lines puts a key's lines in one row; `order.grouped_lines` has them in rows of bounded size."""
     need(group >= 1, "the group must be at least 1")
     need(group <= compiled(pattern).groups, "the pattern lacks the group")
-    keyed = lines.withColumn("key", extracted(F.col("line"), pattern, group)).where(F.col("key").isNotNull())
+    keyed = lines.where(found(F.col("line"), pattern)).withColumn("key", extracted(F.col("line"), pattern, group))
     kept = [F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]).alias("lines")] if keep_lines else []
     return keyed.groupBy("key").agg(F.count("*").alias("count"), F.min_by("line", "ord").alias("first_line"), F.max_by("line", "ord").alias("last_line"), F.min("ord").alias("first_ord"), *kept)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.errors import need
+from timberline.functions.regexes import compiled, extracted, found
 from timberline.functions.text import blank, once, strip, without_first
 from timberline.functions.timestamps import DEFAULT, timestamp_text
 
@@ -116,6 +117,15 @@ def context(lines: DataFrame, predicate: Column | Callable[[str], bool], before:
     return found.where(F.col("_hit") & (F.col("_own") == F.col("_block"))).select((F.col("pos") + 1).alias("line_number"), F.col("line").alias("matched_line"), F.col("_before").alias("before"), F.col("_after").alias("after"))
 
 
+def grouped_lines(lines: DataFrame, pattern: str, group: int = 1, most: int = 10_000) -> DataFrame:
+    """key, chunk, lines: the lines of each key in order, `most` a row at most; chunks of a key ascend. A key with most lines is many rows in many tasks."""
+    need(most >= 1, "a chunk must have room for a line")
+    need(1 <= group <= compiled(pattern).groups, "the pattern lacks the group")
+    keyed = lines.where(found(F.col("line"), pattern)).select(extracted(F.col("line"), pattern, group).alias("key"), "ord", "line")
+    chunks = placed(keyed, "key", "ord").groupBy("key", F.floor(F.col("pos") / most).alias("chunk"))
+    return chunks.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+
+
 def sample(lines: DataFrame, most: int) -> DataFrame:
     """Every step-th line, step = max(1, ceil(total / most)); adds idx, step and is_exact."""
     need(most >= 1, "the sample size must be at least 1")

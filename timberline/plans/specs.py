@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from timberline.errors import need
 from timberline.functions.timestamps import ISO, SYSLOG, TimeFormat, checked_range
 from timberline.operators import aggregates, rules
+from timberline.sources.indexed import lines_with_ends
 from timberline.sources.lines import read_lines
 from timberline.streaming import tail
 
@@ -64,7 +65,7 @@ class Highlighting:
 
 @dataclass(frozen=True)
 class Comparison:
-    """A diff of two files."""
+    """A diff of two files. Without stripping, lines are compared with their line feeds, so a last line that lacks one is another line."""
 
     baseline: str | None = None
     current: str | None = None
@@ -73,7 +74,9 @@ class Comparison:
     def run(self, spark: SparkSession) -> DataFrame:
         need(bool(self.baseline), "the baseline's path is required")
         need(bool(self.current), "the current path is required")
-        return aggregates.diff(read_lines(spark, self.baseline, strict=True), read_lines(spark, self.current, strict=True), self.strip_whitespace)
+        if not self.strip_whitespace:
+            return aggregates.diff(lines_with_ends(spark, self.baseline, True), lines_with_ends(spark, self.current, True), False)
+        return aggregates.diff(read_lines(spark, self.baseline, strict=True), read_lines(spark, self.current, strict=True))
 
 
 @dataclass(frozen=True)
@@ -94,6 +97,7 @@ class Watch:
 
     def run(self, spark: SparkSession, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
         """Starts the query, which hands each batch to `each`; it ends by itself after max_idle seconds without a new line."""
-        query = self.lines(spark).writeStream.foreachBatch(each).trigger(processingTime=f"{self.poll_seconds} seconds").option("checkpointLocation", checkpoint).start()
+        with tail.idle_events(spark, self.max_idle):
+            query = self.lines(spark).writeStream.foreachBatch(each).trigger(processingTime=f"{self.poll_seconds} seconds").option("checkpointLocation", checkpoint).start()
         tail.stop_when_idle(query, self.max_idle)
         return query

@@ -113,10 +113,12 @@ class LogFile:
 
 
 class SpanReader(DataSourceReader):
-    """Spans of files, cut into tasks of TASK_BYTES."""
+    """Spans of files, cut into tasks of TASK_BYTES. ends: lines keep their line feed, if they have one. errors: what bytes that aren't UTF-8 become, or `strict`."""
 
-    def __init__(self, spans: list[tuple[int, str, int, int]]):
-        self.spans = spans
+    ends, errors = False, "replace"
+
+    def __init__(self, spans: list[tuple[int, str, int, int]], ends: bool = False, errors: str = "replace"):
+        self.spans, self.ends, self.errors = spans, ends, errors
 
     def planned(self) -> list[tuple[int, str, int, int]]:
         return self.spans
@@ -146,7 +148,9 @@ class SpanReader(DataSourceReader):
                 for line in lines:
                     places.append(next_)
                     next_ += len(line) + 1
-                text = [line.decode("utf-8", "replace").removesuffix("\r") for line in lines]
+                text = [line.decode("utf-8", self.errors).removesuffix("\r") for line in lines]
+                if self.ends:
+                    text = [x + "\n" for x in text[:-1]] + [text[-1] + "\n" * data.endswith(b"\n")]
                 ord_ = pa.StructArray.from_arrays([pa.array([span.place] * len(lines), pa.int32()), pa.array(places, pa.int64())], ["file", "at"])
                 yield pa.RecordBatch.from_arrays([ord_, pa.array([span.path] * len(lines), pa.string()), pa.array(text, pa.string())], ["ord", "source", "line"])
                 at += len(data)
@@ -186,6 +190,13 @@ def files_at(path: str) -> list[str]:
     return sorted(p for p in glob.glob(f"{local}/*" if os.path.isdir(local) else local) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
 
 
+def lines_with_ends(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """ord, source, line of a file, folder or pattern, each line with its line feed, if it has one; CR LF is a line feed. strict: bytes that aren't UTF-8 raise."""
+    paths = files_at(path)
+    need(len(paths) > 0, f"no file at {path}")
+    return lines_by(spark, SpanReader([(i, p, 0, os.path.getsize(p)) for i, p in enumerate(paths)], True, "strict" if strict else "replace"))
+
+
 def last_line_feed(path: str, size: int) -> int:
     """Where the line after the last line feed below size begins; 0 without one."""
     at, step = size, 65_536

@@ -58,13 +58,6 @@ def export(parsed: DataFrame, path: str | None = None, fmt: str = "plain", mode:
     return watch.get["n"]
 
 
-def json_array(parsed: DataFrame, most: int = 100_000) -> str:
-    """A small result as one JSON array; raises beyond `most` rows."""
-    rows = json_lines(parsed).limit(most + 1).collect()
-    need(len(rows) <= most, f"more than {most} rows; write them as JSON lines")
-    return "[" + ",".join(r[0] for r in rows) + "]"
-
-
 class OutputRouter:
     """One format to a folder, the console, or both; usable as a context. Writing before it is open raises."""
 

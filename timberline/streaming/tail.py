@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import hashlib
 import os
@@ -11,7 +12,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from timberline.functions.timestamps import DEFAULT
 from timberline.operators.slicing import slice_lines
@@ -138,26 +139,52 @@ def tail(spark: SparkSession, path: str, start=None, end=None, from_start: bool
     return slice_lines(parsed(lines, formats), start, end)
 
 
-def stop_when_idle(query: StreamingQuery, max_idle: float | None) -> threading.Thread:
-    """Stops the query after max_idle seconds without a new row; None: never. Starting up and working on rows is not idle."""
-
-    def watch():
-        last = time.time()
-        seen = None
-        while query.isActive and max_idle is not None:
-            p = query.lastProgress
-            if p and p["batchId"] != seen and p["numInputRows"]:
-                seen, last = p["batchId"], time.time()
-            status = query.status
-            if status["isDataAvailable"] or status["message"].startswith("Initializing"):
-                last = time.time()
-            if time.time() - last > max_idle:
-                query.stop()
-            time.sleep(min(0.2, max_idle / 4))
-
-    thread = threading.Thread(target=watch, daemon=True)
-    thread.start()
-    return thread
+class IdleStop(StreamingQueryListener):
+    """Stops one query at the first idle event that comes max_idle seconds or more after its last new row. Starting up and working on rows is not idle: neither makes such events."""
+
+    def __init__(self, query: StreamingQuery, max_idle: float):
+        self.query, self.max_idle, self.last, self.streams = query, max_idle, time.monotonic(), SparkSession.active().streams
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.runId) == str(self.query.runId) and event.progress.numInputRows:
+            self.last = time.monotonic()
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.runId) == str(self.query.runId) and time.monotonic() - self.last >= self.max_idle:
+            threading.Thread(target=self.query.stop, daemon=True).start()  # the listener's own thread must go on
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == str(self.query.runId):
+            threading.Thread(target=self.streams.removeListener, args=(self,), daemon=True).start()
+
+    def join(self, timeout: float | None = None) -> bool:
+        """Waits until the query has ended."""
+        return self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination() or True
+
+
+@contextlib.contextmanager
+def idle_events(spark: SparkSession, max_idle: float | None):
+    """Queries that start within tell of idleness often enough for max_idle (Spark's own interval is ten seconds); the session's setting is put back."""
+    name = "spark.sql.streaming.noDataProgressEventInterval"
+    before = spark.conf.get(name, None)
+    if max_idle is not None:
+        spark.conf.set(name, str(max(50, min(10_000, int(max_idle * 500)))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stop_when_idle(query: StreamingQuery, max_idle: float | None) -> IdleStop | None:
+    """Stops the query after max_idle seconds without a new row; None: never. As exact as the interval of idle events, see idle_events."""
+    if max_idle is None:
+        return None
+    listener = IdleStop(query, max_idle)
+    listener.streams.addListener(listener)
+    return listener
 
 
 def rate_stream(timed: DataFrame, bucket_seconds: int, late: str = "1 minute") -> DataFrame:
