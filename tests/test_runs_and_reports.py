@@ -12,7 +12,7 @@ from timberline.operators import aggregates as agg
 from timberline.operators import order, rules, slicing
 from timberline.plans import runs
 from timberline.plans.config import FilterProfile
-from timberline.sources import reports
+from timberline.sources import reports, sinks
 from timberline.sources.lines import from_list, parsed, read_lines
 from timberline.streaming import tail
 
@@ -164,3 +164,14 @@ def test_line_ends_count_without_stripping(spark, tmp_path):
     a.write_bytes(b"\xff\n")
     with pytest.raises(Exception, match="(?i)utf"):
         told(a, b, strip_whitespace=False)
+
+
+def test_router_opens_only_what_can_be_written(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    for bad in (tmp_path / "file", tmp_path / "file" / "below"):
+        with pytest.raises(SpecError):
+            sinks.OutputRouter(str(bad)).open()
+    lines = parsed(from_list(spark, ["2024-01-01 10:00:00 a", "b"]))
+    with sinks.OutputRouter(str(tmp_path / "new" / "deep"), fmt="json") as router:
+        assert router.write(lines) == 2 and router.write(lines) == 2
+    assert spark.read.text(str(tmp_path / "new" / "deep")).count() == 4

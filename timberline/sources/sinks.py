@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.errors import need
+from timberline.errors import SpecError, need
 from timberline.functions.text import iso
 
 
@@ -66,6 +66,15 @@ class OutputRouter:
         self.path, self.to_stdout, self.fmt, self.opened, self.count = path, to_stdout, output_format(fmt), False, 0
 
     def open(self) -> "OutputRouter":
+        """Makes the folder; a path that can't be one raises now, not at the first line."""
+        if self.path is not None:
+            jvm = SparkSession.active().sparkContext
+            try:
+                at = jvm._jvm.org.apache.hadoop.fs.Path(self.path)
+                made = at.getFileSystem(jvm._jsc.hadoopConfiguration()).mkdirs(at)
+            except Exception as e:
+                raise SpecError(f"cannot write to {self.path}: {str(e).splitlines()[0]}") from e
+            need(made, f"cannot write to {self.path}")
         self.opened, self.count = True, 0
         return self
 
