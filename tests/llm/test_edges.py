@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from timberline.llm import bpe, common, embeddings, html, language, mixing, secrets, simhash, substrings, topk, urls
+from timberline.llm import bpe, common, embeddings, html, language, mixing, secrets, simhash, substrings, tiles, topk, urls
 
 #: The first five are those of documents; the others have names that operators might use.
 CLASHES = "score fp id _id _row _n _size _copies _target _lang _score row node component rank size copies copy hash src class digits before n_tokens token_ids spans lang_pred k1 k2 uid"
@@ -155,8 +155,9 @@ def test_embeddings_brute(spark, monkeypatch, window):
 
 
 def test_topk_brute(spark, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP_ROWS", 16)
-    monkeypatch.setattr(topk, "FAN_IN", 2)
+    monkeypatch.setattr(tiles, "GROUP_BYTES", 200)
+    monkeypatch.setattr(tiles, "SMALL_ROWS", 16)
+    monkeypatch.setattr(tiles, "FAN_IN", 2)
     rows, df = vectors(spark)
     scaled = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if usable(v)}
     want = {}
