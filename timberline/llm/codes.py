@@ -47,13 +47,17 @@ def keys(vectors, parts: int, scale: float):
             yield row, d, [data[k][i, p].tobytes() for p, k in enumerate(kind[i])]
 
 
-def numbers(keys_, width: int):
-    """The whole numbers of keys of parts of `width` components: int64 where squares of differences fit, else Python's."""
+def numbers(column, width: int):
+    """The whole numbers of a column of keys of parts of `width` components: int64 where squares of differences fit, else Python's."""
     import numpy as np
 
     kinds = {2 * width: np.int16, 4 * width: np.int32, 8 * width: np.float64}
-    rows = [np.frombuffer(k, kinds[len(k)]) for k in keys_]
-    if any(len(k) == 8 * width for k in keys_):
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, np.int32)
+    if len(sizes) and (sizes == sizes[0]).all() and kinds[int(sizes[0])] is not np.float64:  # all of one kind: read in one piece
+        begin = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+        return np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + int(sizes.sum())].view(kinds[int(sizes[0])]).reshape(len(column), width).astype(np.int64)
+    rows = [np.frombuffer(k, kinds[len(k)]) for k in column.to_pylist()]
+    if (sizes == 8 * width).any():
         return np.array([[int(x) for x in r] for r in rows], object).reshape(len(rows), width)
     return np.stack(rows).astype(np.int64) if rows else np.empty((0, width), np.int64)
 
@@ -88,6 +92,7 @@ def limbs(x: int):
 def by_position(batches):
     """(dimension, position, keys, other columns) of runs of rows with columns dim, position, key, ..."""
     import numpy as np
+    import pyarrow as pa
 
     for batch in pieces(batches):
         dim, position = (batch.column(i).to_numpy() for i in range(2))
@@ -95,7 +100,7 @@ def by_position(batches):
         for n in np.unique(name):
             at = np.flatnonzero(name == n)
             part = batch.take(at)
-            yield int(n >> 32), int(n & 0xFFFFFFFF), part.column(2).to_pylist(), [part.column(i) for i in range(3, part.num_columns)]
+            yield int(n >> 32), int(n & 0xFFFFFFFF), part.column(2).cast(pa.binary()), [part.column(i) for i in range(3, part.num_columns)]
 
 
 def sums(distinct: DataFrame, books: dict) -> DataFrame:
@@ -137,10 +142,12 @@ def joined(rows: DataFrame, found: DataFrame, on: list[str], weight: str) -> Dat
 
 def seeds(parted: DataFrame, parts: int, entries: int) -> dict[int, list[list[list[int]]]]:
     """By dimension: for each position that part of the vectors with the `entries` smallest ids, ascending. One vector an id, that of the least keys; null ids give none."""
+    import pyarrow as pa
+
     books = {}
     for (d,) in parted.select("dim").distinct().collect():
         first = parted.where((F.col("dim") == d) & F.col("id").isNotNull()).groupBy("id").agg(F.min("keys").alias("keys")).orderBy("id").limit(entries).collect()
-        books[d] = [[[int(x) for x in numbers([bytes(r["keys"][p])], d // parts)[0]] for r in first] for p in range(parts)]
+        books[d] = [[[int(x) for x in numbers(pa.array([bytes(r["keys"][p])], pa.binary()), d // parts)[0]] for r in first] for p in range(parts)]
     return books
 
 
@@ -190,7 +197,7 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         for d, position, keys_, (weights,) in by_position(batches):
             at, error = nearest(numbers(keys_, d // parts), books[d][position])
             n = len(keys_)
-            yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int32()), pa.array([position] * n, pa.int32()), pa.array(keys_, pa.binary()), weights, pa.array(at, pa.int32()), pa.array(error, pa.int64())], ["dim", "position", "key", "weight", "entry", "off"])
+            yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int32()), pa.array([position] * n, pa.int32()), keys_, weights, pa.array(at, pa.int32()), pa.array(error, pa.int64())], ["dim", "position", "key", "weight", "entry", "off"])
 
     final = written(distinct.select("dim", "position", "key", "weight").mapInArrow(assigned, "dim int, position int, key binary, weight long, entry int, off long"))
     held = lambda c: F.least(c, F.lit(MOST).cast("decimal(38,0)")).cast("long")
