@@ -110,6 +110,23 @@ def test_mixing_targets(spark, sizes):
     assert got == pytest.approx(shares(sizes))
 
 
+def test_mixing_targets_of_many_sources(spark):
+    """Ranges of sources are put together: by code point, null last, the weights go round; no source is lost at a border."""
+    names = sorted(["", "Z", "a", "\u00e9", "\uffff", "\U0001f600", *(f"{i * 7919 % 3000}.org" for i in range(3000))], key=lambda x: x.encode())
+    sizes = [1 + i * i * 31 % 5003 for i in range(len(names) + 1)]
+    table = spark.createDataFrame(list(zip([*names, None], sizes)), "source string, source_size long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.targets(table).collect()
+        places = mixing.running(table, [F.col("source").asc_nulls_last()], {"source_size": "earlier"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(places) == len(sizes)
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(dict(zip([*names, None], shares(sizes))))
+    assert {r["source"]: r["earlier"] for r in places} == {n: sum(sizes[:i]) for i, n in enumerate([*names, None])}
+    assert mixing.targets(table.limit(0)).count() == mixing.running(table.limit(0), [F.col("source")], {"source_size": "earlier"}).count() == 0
+
+
 def test_mixing_copies(spark, monkeypatch):
     table = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 97 as int))").alias("text"), F.expr("concat('s', id % 3)").alias("source"), F.lit(1).alias("size"), F.lit("c").alias("copies"))
     rows = mixing.mix(table).collect()
