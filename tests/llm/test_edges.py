@@ -118,13 +118,13 @@ def test_mixing_targets_of_many_sources(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = mixing.targets(table).collect()
-        places = mixing.running(table, [F.col("source").asc_nulls_last()], {"source_size": "earlier"}).collect()
+        places = mixing.running(mixing.ranged(table, F.col("source").asc_nulls_last()), {"source_size": "earlier"}).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == len(places) == len(sizes)
     assert {r["source"]: r["target"] for r in got} == pytest.approx(dict(zip([*names, None], shares(sizes))))
     assert {r["source"]: r["earlier"] for r in places} == {n: sum(sizes[:i]) for i, n in enumerate([*names, None])}
-    assert mixing.targets(table.limit(0)).count() == mixing.running(table.limit(0), [F.col("source")], {"source_size": "earlier"}).count() == 0
+    assert mixing.targets(table.limit(0)).count() == mixing.running(mixing.ranged(table.limit(0), F.col("source")), {"source_size": "earlier"}).count() == 0
 
 
 def test_mixing_copies(spark, monkeypatch):

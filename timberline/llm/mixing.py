@@ -27,20 +27,23 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """rows with sums[c] for each of its columns c named there: the sum of c over the rows that come earlier in the order.
+def ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows as a table of sorted ranges, with _n, which grows with the order. No two rows may be equal in the order."""
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()))
 
-    No two rows may be equal in the order. Rows are range-sorted and written; one window sees the rows of one range, another a row a range.
-    An empty table gives none.
+
+def running(table: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """A table of `ranged` with sums[c] for each of its columns c named there: the sum of c over the rows that come earlier.
+
+    One window sees the rows of one range, another a row a range. An empty table gives none.
     """
-    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_range", F.shiftright("_n", 33))
+    placed = table.withColumn("_range", F.shiftright("_n", 33))
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = placed.groupBy("_range").agg(*(F.sum(c).alias(c) for c in sums))
     begun = ranges.select("_range", *(before(c, Window.orderBy("_range")).alias(f"_begin_{c}") for c in sums))
     own = {c: before(c, Window.partitionBy("_range").orderBy("_n")) for c in sums}
     counted = placed.withColumns({f"_own_{c}": w for c, w in own.items()}).join(F.broadcast(begun), "_range")
-    return counted.select(*rows.columns, *((F.col(f"_begin_{c}") + F.col(f"_own_{c}")).alias(name) for c, name in sums.items()))
+    return counted.select(*table.columns, *((F.col(f"_begin_{c}") + F.col(f"_own_{c}")).alias(name) for c, name in sums.items()))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -51,15 +54,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     caps leave, divided by the other weights, grows with k up to that level and falls after it, so the level is the
     largest of these. Sources may be as many as domains: both orders are range-sorted, and sums alone reach the driver.
     """
-    placed = running(sizes.select("source", "source_size", F.lit(1).alias("_one")), [F.col("source").asc_nulls_last()], {"_one": "_place"})
+    by_name = ranged(sizes.select("source", "source_size", F.lit(1).alias("_one")), F.col("source").asc_nulls_last())
     turn = F.pmod("_place", F.lit(len(weights))).cast("int") + 1
-    weighed = placed.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), turn).cast("double"))
-    capped = written(weighed.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_ratio", F.col("_cap") / F.col("_weight")))
-    total, weight = capped.agg(F.sum("source_size"), F.sum("_weight")).first()
-    ordered = running(capped, [F.col("_ratio"), F.col("_place")], {"_cap": "_caps", "_weight": "_weights"})
+    weighed = running(by_name, {"_one": "_place"}).drop("_n").withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), turn).cast("double"))
+    capped = weighed.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+    by_cap = ranged(capped, F.col("_ratio"), F.col("_place"))
+    total, weight = by_cap.agg(F.sum("source_size"), F.sum("_weight")).first()
     left = F.lit(float(total or 0) * float(share)) - F.col("_caps")
-    level = ordered.agg(F.max(left / (F.lit(weight) - F.col("_weights")))).first()[0]
-    return capped.select("source", "source_size", F.least("_cap", F.lit(level).cast("double") * F.col("_weight")).alias("target"))
+    level = running(by_cap, {"_cap": "_caps", "_weight": "_weights"}).agg(F.max(left / (F.lit(weight) - F.col("_weights")))).first()[0]
+    return by_cap.select("source", "source_size", F.least("_cap", F.lit(level).cast("double") * F.col("_weight")).alias("target"))
 
 
 def hash_digits(rows: int) -> int:
