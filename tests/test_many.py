@@ -8,7 +8,7 @@ import pytest
 
 from timberline.errors import SpecError
 from timberline.operators import aggregates as agg
-from timberline.operators import many
+from timberline.operators import many, order
 from timberline.sources.lines import from_list
 
 BEGIN = datetime(2024, 1, 1)
@@ -60,6 +60,21 @@ def test_ten_thousand_profiles(spark):
     assert got == plain(times, profiles)
 
 
+def test_profiles_are_not_broadcast(spark, monkeypatch):
+    """The parts of all profiles were broadcast, so the driver held them. Several blocks; many bounds of one time."""
+    monkeypatch.setattr(order, "BLOCK", 1000)
+    rng = random.Random(3)
+    times = [BEGIN + timedelta(seconds=rng.randrange(5000)) for _ in range(300)] + [BEGIN + timedelta(seconds=9)] * 5 + [None] * 3
+    profiles = [(str(i), BEGIN + timedelta(seconds=a) if i % 7 else None, BEGIN + timedelta(seconds=a + rng.randrange(-3, 4000)) if i % 5 else None) for i in range(4000) for a in [rng.randrange(-5, 5500)]]
+    profiles += [("same", BEGIN + timedelta(seconds=9), BEGIN + timedelta(seconds=9))] * 100
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        assert joined(spark, times, profiles) == plain(times, profiles)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+        order.release()
+
+
 def test_literals(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "", "🎉b"]

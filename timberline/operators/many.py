@@ -1,68 +1,54 @@
 """Thousands of profiles, and thousands of literals, in one pass over the lines.
 
-Profiles: lines are counted by second and by ever larger bins of seconds, eight of a size to one of the next; each profile is cut into the
-few bins that fill it, joined by bin, and the borders that fall inside of a second are tested time by time. So the join grows with the
-profiles times the logarithm of their length, not with the lines in them.
+Profiles: lines are counted by time; these times and the bounds of all profiles stand in one order, where each bound sees how many lines come
+before it and which time is next. So the work grows with the lines and the profiles, whatever their lengths, and no side is broadcast.
 
 Literals: one automaton finds which of all literals a line holds, in one pass over its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.errors import need
 from timberline.operators.aggregates import ThresholdRule
-from timberline.operators.order import micros
+from timberline.operators import order
 
-#: Bits by which bins grow from level to level.
-BITS = 3
-SECOND = 1_000_000
+#: Rows of the order of times: lines without a time, a profile's start (before the lines of its time), lines of one time, a profile's end (after them).
+UNPARSED, START, LINES, END = range(4)
+#: Where an open end stands, in microseconds.
+LAST = (1 << 63) - 1
 
 
 def profile_join(parsed: DataFrame, profiles: DataFrame) -> DataFrame:
     """profile, total_lines, matched_lines, unparseable_lines, first_matched_ts, last_matched_ts for each row of profiles (profile, start, end:
     TIMESTAMP_NTZ, inclusive, null: open). Rows of equal names are counted each by itself; reversed bounds match nothing."""
-    totals = parsed.agg(F.count("*").alias("total_lines"), F.count_if(F.col("timestamp").isNull()).alias("unparseable_lines"), F.min(micros(F.col("timestamp"))).alias("low"), F.max(micros(F.col("timestamp"))).alias("high"))
-    all_lines, unparsed, low, high = totals.first()
-    at = micros(F.col("timestamp"))
-    moments = parsed.where(F.col("timestamp").isNotNull()).groupBy(at.alias("at")).agg(F.count("*").alias("n")).withColumn("second", floor_div("at", SECOND))
-    levels = 1 if low is None else max(1, -(-((high - low) // SECOND + 1).bit_length() // BITS))
-    bins = moments.groupBy("second").agg(F.sum("n").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    bins = bins.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).groupBy("level", F.expr(f"shiftright(second, level * {BITS})").alias("bin")).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-
-    wanted = profiles.select("profile", micros(F.col("start")).alias("s"), micros(F.col("end")).alias("e")).withColumn("uid", F.monotonically_increasing_id())
-    # open bounds, and those beyond the data, are the data's
-    held = wanted.withColumns({"s": F.greatest(F.coalesce("s", F.lit(low)), F.lit(low)), "e": F.least(F.coalesce("e", F.lit(high)), F.lit(high))}).where("s <= e")
-    # whole seconds from a, before b
-    cut = held.withColumns({"a": -floor_div(-F.col("s"), SECOND), "b": floor_div(F.col("e") + 1, SECOND)})
-    by_level = cut.where("a < b").select("uid", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    up = lambda c, more: F.expr(f"-shiftright(-{c}, (level + {more}) * {BITS})")
-    down = lambda c, more: F.expr(f"shiftright({c}, (level + {more}) * {BITS})")
-    by_level = by_level.select("uid", "level", up("a", 0).alias("lo"), down("b", 0).alias("hi"), up("a", 1).alias("lo1"), down("b", 1).alias("hi1")).where("lo < hi")
-    larger = (F.col("lo1") < F.col("hi1")) & (F.col("level") < levels)
-    parts = F.when(larger, F.concat(run("lo", F.shiftleft("lo1", BITS)), run(F.shiftleft("hi1", BITS), "hi"))).otherwise(run("lo", "hi"))
-    whole = by_level.select("uid", "level", F.explode(parts).alias("bin")).join(bins, ["level", "bin"]).select("uid", "n", "first", "last")
-    # seconds that a border cuts
-    seconds = F.array_distinct(F.array(floor_div("s", SECOND), floor_div("e", SECOND)))
-    edges = cut.select("uid", "s", "e", "a", "b", F.explode(seconds).alias("second")).where("second < a or second >= b")
-    cut_ones = edges.join(moments, "second").where("at between s and e").select("uid", "n", F.col("at").alias("first"), F.col("at").alias("last"))
-    found = whole.unionByName(cut_ones).groupBy("uid").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    return wanted.select("profile", "uid").join(found, "uid", "left").select("profile", F.lit(all_lines).alias("total_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("matched_lines"), F.lit(unparsed).alias("unparseable_lines"), time("first").alias("first_matched_ts"), time("last").alias("last_matched_ts"))
-
-
-def floor_div(c: Column | str, by: int) -> Column:
-    """c divided by `by`, down, in whole numbers."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.call_function("div", c - F.pmod(c, F.lit(by)), F.lit(by))
-
-
-def run(a: Column | str, b: Column | str) -> Column:
-    """The whole numbers from a, before b."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    kind, at = F.col("kind"), F.col("at")
+    times = parsed.groupBy(order.micros(F.col("timestamp")).alias("at")).agg(F.count("*").alias("n")).withColumn("kind", F.when(at.isNull(), UNPARSED).otherwise(LINES))
+    wanted = profiles.select("profile", order.micros(F.col("start")).alias("s"), order.micros(F.col("end")).alias("e")).withColumn("uid", F.monotonically_increasing_id())
+    # an open start is null, which stands first
+    bounds = wanted.select("uid", "profile", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(START).alias("kind")), F.struct(F.coalesce("e", F.lit(LAST)).alias("at"), F.lit(END).alias("kind")))))
+    # uid spreads bounds of one time over the partitions
+    numbered = order.placed(times.unionByName(bounds, allowMissingColumns=True), "at", "kind", "uid").withColumn("_block", F.floor(F.col("pos") / order.BLOCK))
+    total = lambda *kinds: F.coalesce(F.sum(F.when(kind.isin(*kinds), F.col("n"))), F.lit(0))
+    all_lines, unparsed = numbered.agg(total(UNPARSED, LINES), total(UNPARSED)).first()
+
+    # between the blocks of the order only summaries travel, one row a block
+    n, own = (F.when(kind == LINES, c) for c in (F.col("n"), at))
+    so_far = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    up, down = (so_far(Window.orderBy(c), -1) for c in (F.asc("_block"), F.desc("_block")))
+    blocks = numbered.groupBy("_block").agg(F.sum(n).alias("sum"), F.min(own).alias("least"), F.max(own).alias("most"))
+    carried = blocks.select("_block", F.coalesce(F.sum("sum").over(up), F.lit(0)).alias("_sum"), F.max("most").over(up).alias("_most"), F.min("least").over(down).alias("_least"))
+    up, down = (so_far(Window.partitionBy("_block").orderBy(c), 0) for c in (F.asc("pos"), F.desc("pos")))
+    seen = numbered.join(F.broadcast(carried), "_block").select(
+        "uid", "profile", "kind", (F.coalesce(F.sum(n).over(up), F.lit(0)) + F.col("_sum")).alias("n"),
+        F.coalesce(F.max(own).over(up), "_most").alias("before"), F.coalesce(F.min(own).over(down), "_least").alias("after"),
+    ).where(kind.isin(START, END))
+    of = lambda k, c: F.max(F.when(kind == k, F.col(c)))
+    found = seen.groupBy("uid", "profile").agg((of(END, "n") - of(START, "n")).alias("n"), of(START, "after").alias("first"), of(END, "before").alias("last"))
+    time = lambda c: F.when(F.col("n") > 0, F.timestamp_micros(c).cast("timestamp_ntz"))
+    return found.select("profile", F.lit(all_lines).cast("long").alias("total_lines"), F.greatest("n", F.lit(0)).alias("matched_lines"), F.lit(unparsed).cast("long").alias("unparseable_lines"), time("first").alias("first_matched_ts"), time("last").alias("last_matched_ts"))
 
 
 def literal_counts(lines: DataFrame, literals: list[str]) -> DataFrame:
