@@ -225,6 +225,31 @@ def values(rows) -> list:
     return sorted(repr([round(x, 6) if isinstance(x, float) else str(x) for x in row]) for row in rows)
 
 
+def test_a_range_reads_each_time_once(spark):
+    """The filter held the timestamp's expression, three formats, at each place that the condition names it."""
+    lines = spark.range(9).select("id", F.concat(F.lit("2024-01-0"), (F.col("id") + 1).cast("string"), F.lit(" 00:00:00 x")).alias("line"))
+    kept = slicing.slice_lines(parsed(lines), "2024-01-02 00:00:00", "2024-01-04 00:00:00").select("id")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp(") == 3
+    assert sorted(r["id"] for r in kept.collect()) == [1, 2, 3]
+
+
+def test_a_sample_makes_its_lines_once(spark):
+    """The range sort made them twice, for its bounds and for its rows. Lines of one place are each a line of their own."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    lines = spark.range(0, 1000, 1, 4).selectExpr("(999 - id) div 2 AS ord", "string(id) AS line").mapInArrow(counted, "ord long, line string")
+    rows = order.sample(lines, 97).orderBy("idx").collect()
+    assert made.value == 1000
+    assert [(r["ord"], r["idx"], r["step"], r["is_exact"]) for r in rows] == [(p // 2, i, 11, False) for i, p in enumerate(range(0, 1000, 11))]
+    assert len({r["line"] for r in rows}) == 91
+    order.release()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, tables, name):
     got = queries.QUERIES[name](spark, SF)

@@ -23,7 +23,7 @@ _held: list[DataFrame] = []
 
 
 def release() -> None:
-    """Frees what `placed` keeps. For when the results made so far have been read: one read later may number lines anew."""
+    """Frees what `placed` and `sample` keep. For when the results made so far have been read: one read later may number lines anew."""
     while _held:
         _held.pop().unpersist()
 
@@ -129,11 +129,16 @@ def grouped_lines(lines: DataFrame, pattern: str, group: int = 1, most: int = 10
 def sample(lines: DataFrame, most: int) -> DataFrame:
     """Every step-th line, step = max(1, ceil(total / most)); adds idx, step and is_exact."""
     need(most >= 1, "the sample size must be at least 1")
-    numbered = placed(lines)
+    # lines are made once and kept as they come (see `release`); what is sorted is their order alone
+    rows = lines.withColumn("_row", F.monotonically_increasing_id()).persist()
+    _held.append(rows)
+    numbered = placed(rows.select("ord", "_row"), "ord", "_row")
     total = numbered.count()
     step = max(1, -(-total // most))
     kept = -(-total // step)
-    return numbered.where(F.col("pos") % step == 0).withColumns({"idx": F.floor(F.col("pos") / step), "step": F.lit(step).cast("long"), "is_exact": F.lit(total <= kept)}).drop("pos")
+    chosen = numbered.where(F.col("pos") % step == 0).select("_row", "pos")
+    found = rows.join(F.broadcast(chosen) if kept <= BROADCAST_ROWS else chosen, "_row")
+    return found.withColumns({"idx": F.floor(F.col("pos") / step), "step": F.lit(step).cast("long"), "is_exact": F.lit(total <= kept)}).drop("_row", "pos")
 
 
 def micros(ts: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.text import once
 from timberline.functions.timestamps import bound
 
 NTZ = "timestamp_ntz"
@@ -22,7 +23,8 @@ def in_range(ts: Column, start=None, end=None, include_unparsed: bool = False) -
 
 
 def slice_lines(parsed: DataFrame, start=None, end=None, include_unparsed: bool = False) -> DataFrame:
-    return parsed.where(in_range(F.col("timestamp"), start, end, include_unparsed))
+    # once: Spark writes the timestamp's expression into the filter wherever the condition names it
+    return parsed.where(once(F.col("timestamp"), lambda ts: in_range(ts, start, end, include_unparsed)))
 
 
 def line_status(ts: Column, start=None, end=None) -> Column:
